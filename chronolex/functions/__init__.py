@@ -1 +1 @@
-"""Chronolex functions."""
+"""Column functions for text, tags, languages and ratings."""

@@ -1 +1 @@
-"""Chronolex operators."""
+"""Operators on cubes, windows, features and models."""

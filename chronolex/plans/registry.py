@@ -1,10 +1,8 @@
-"""Queries by name, and their SQL."""
+"""All queries by name, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from chronolex.plans import features, texts  # noqa: F401
+from chronolex.plans.base import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

@@ -1 +1 @@
-"""Chronolex sources."""
+"""Readers and writers of the formats that corpora and features come in."""

@@ -1 +1 @@
-"""Chronolex streaming."""
+"""Structured Streaming form of the social feed."""
