@@ -75,7 +75,7 @@ class Machine:
         return score
 
 
-def train(rows: list[tuple[int, list[int]]], n_features: int = FEATURES, factors: int = FACTORS, steps: int = 300, l2: float = 2e-3, rate: float = 0.05, least_chi2: float = 12.0, pairs: bool = True) -> Machine:
+def train(rows: list[tuple[int, list[int]]], n_features: int = FEATURES, factors: int = FACTORS, steps: int = 200, l2: float = 2e-4, l2_pairs: float = 4e-3, rate: float = 0.05, least_chi2: float = 20.0, pairs: bool = True) -> Machine:
     """Fit on (label, buckets) rows, in a fixed order and from a fixed seed. pairs=False leaves out the interactions."""
     y = np.array([r[0] for r in rows], np.float64)
     n, n1 = len(y), float(y.sum())
@@ -103,13 +103,12 @@ def train(rows: list[tuple[int, list[int]]], n_features: int = FEATURES, factors
     w0, w, v = np.log(share / (1 - share)), np.zeros(len(of)), rng.normal(0, 0.05, (len(of), factors)) * pairs
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
     moments = [np.zeros(1), np.zeros(1), np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
-    x2 = x.sum(axis=0)
     for step in range(1, steps + 1):
         s = x @ v.astype(np.float32)
         z = w0 + x @ w.astype(np.float32) + 0.5 * ((s * s).sum(axis=1) - x @ (v * v).sum(axis=1).astype(np.float32))
         g = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / n
         gx = x.T @ g.astype(np.float32)
-        gv = (x.T @ (g[:, None] * s).astype(np.float32) - v * gx[:, None]) * pairs + l2 * v * (x2 > 0)[:, None]
+        gv = (x.T @ (g[:, None] * s).astype(np.float32) - v * gx[:, None]) * pairs + l2_pairs * v
         for k, (p, d) in enumerate(((None, np.array([g.sum()])), (w, gx + l2 * w), (v, gv))):
             m, q = moments[2 * k], moments[2 * k + 1]
             m *= 0.9
