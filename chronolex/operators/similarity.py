@@ -52,7 +52,6 @@ def cosines(compounds: Cube, modifiers: Cube, heads: Cube, unseen: DataFrame | N
     both = with_constituent(compounds, modifiers, "sim_with_modifier").join(with_constituent(compounds, heads, "sim_with_head"), on)
     out = between_constituents(compounds, modifiers, heads, unseen).join(both, on, "left")
     sm, sh = F.col("sim_with_modifier"), F.col("sim_with_head")
-    # the product takes out what rounding adds to cosines of equal vectors
     return out.select(*on, "sim_with_modifier", "sim_with_head", "sim_bw_constituents", beta_of(sm, sh, F.col("sim_bw_constituents")).alias("beta"), F.sqrt(sm * sh).alias("geom_mean_sim"), F.coalesce((sm + sh) / 2, sm, sh).alias("arith_mean_sim"))
 
 
@@ -112,9 +111,9 @@ def composed(a: Column, b: Column) -> Column:
 
 def mean_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """Group means of dense vectors, one position at a time; partial sums are merged before the shuffle."""
-    parts = df.select(*keys, F.posexplode(vector).alias("k", "x")).groupBy(*keys, "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    rows = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v"))
-    return rows.select(*keys, F.transform("v", lambda s: s["x"]).alias(vector))
+    parts = df.select(*keys, F.posexplode(vector).alias("__k", "__x")).groupBy(*keys, "__k").agg(F.avg(F.col("__x").cast("double")).alias("__x"))
+    rows = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__k", "__x"))).alias("__v"))
+    return rows.select(*keys, F.transform("__v", lambda s: s["__x"]).alias(vector))
 
 
 def join_all(frames: list[DataFrame], on: list[str], how: str = "inner") -> DataFrame:

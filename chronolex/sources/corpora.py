@@ -40,9 +40,18 @@ def ngrams_v1(spark: SparkSession, path: str) -> DataFrame:
 
 
 def delimited(spark: SparkSession, path: str, sep: str = "\t", header: bool = True, encoding: str = "UTF-8", schema: T.StructType | str | None = None) -> DataFrame:
-    """Text tables of ratings, spellings and features; all strings unless a schema is given."""
-    reader = spark.read.option("sep", sep).option("header", header).option("encoding", encoding)
-    return (reader.schema(schema) if schema else reader).csv(path)
+    """Text tables of ratings, spellings and features; all strings unless a schema is given.
+
+    Single-byte encodings that Spark does not read, such as cp1252, are read as ISO-8859-1 and their letters exchanged.
+    """
+    known = encoding.upper() in ("UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32", "US-ASCII", "ISO-8859-1")
+    reader = spark.read.option("sep", sep).option("header", header).option("encoding", encoding if known else "ISO-8859-1")
+    df = (reader.schema(schema) if schema else reader).csv(path)
+    if known:
+        return df
+    old = "".join(chr(b) for b in range(128, 256))
+    new = "".join(bytes([b]).decode(encoding, "replace") for b in range(128, 256))
+    return df.select(*(F.translate(F.col(f"`{f.name}`"), old, new).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema))
 
 
 def whitespace_table(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
