@@ -92,6 +92,38 @@ def gap_free(long: DataFrame, keys: Sequence[str], since: int, expected: int) ->
     return rows.join(whole, list(keys), "left_semi")
 
 
+# Rated compounds that the regressions leave out.
+LEFT_OUT = ("call_centre", "benign_tumour", "computer_programme", "grey_matter", "labour_union", "baby_blues", "contact_lenses")
+
+
+def without_named(ratings: DataFrame, compound: str = "compound", names: Sequence[str] = LEFT_OUT) -> DataFrame:
+    """Rows of other compounds, and those without a name."""
+    return ratings.filter(F.coalesce(~F.col(compound).isin(*names), F.lit(True)))
+
+
+def pattern_subset(features: DataFrame, pattern: str, is_adj: str = "is_adj") -> DataFrame:
+    """Rows of one tag pattern for regression: an, nn, ap or pp.
+
+    The head has the second letter's tag (n: NOUN, p: PROPN). The modifier has the head's tag too, but that of an adjective
+    compound is an ADJ where the pattern begins with a.
+    """
+    tag = "_NOUN" if pattern[1] == "n" else "_PROPN"
+    own = F.when(F.col(is_adj), F.col("modifier").contains("_ADJ" if pattern[0] == "a" else tag)).otherwise(F.col("modifier").contains(tag))
+    return features.filter(own & F.col("head").contains(tag))
+
+
+def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows, mean, standard deviation and median of a value per group."""
+    v = F.col(value).cast("double")
+    return df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.median(v).alias("median"))
+
+
+def nested_summary(df: DataFrame, outer: Sequence[str], inner: str, value: str) -> DataFrame:
+    """Mean and deviation over seeds (inner groups) of the seeds' means."""
+    means = df.groupBy(*outer, inner).agg(F.avg(F.col(value).cast("double")).alias("m"))
+    return means.groupBy(*outer).agg(F.avg("m").alias("mean"), F.stddev_samp("m").alias("std"), F.count(F.lit(1)).alias("n"))
+
+
 def rating_level(x: Column) -> Column:
     """high from 4, med from 2, else low."""
     return F.when(x >= 4, "high").when(x >= 2, "med").when(x < 2, "low")

@@ -47,6 +47,30 @@ def svd(cube: Cube, k: int, tag: str = "|") -> DataFrame:
     return found.join(rows, "i").select("key", F.transform("v", lambda x: F.try_divide(x, norm)).alias("v"))
 
 
+def svd_project(fit_on: Cube, others: dict[str, Cube], k: int, tag: str = "|") -> DataFrame:
+    """Rows of other cubes in the space of one cube's k strongest right vectors: kind, key, v of unit length.
+
+    The right vectors are a row for each context and are joined to the cells; contexts that the fitted cube lacks add nothing.
+    """
+    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+
+    label = lambda c: F.concat_ws(tag, *(F.col(x).cast("string") for x in c.row))
+    cells = fit_on.df.select(label(fit_on).alias("key"), "context", F.col("count").cast("double").alias("x"))
+    rows, cols = indexed(cells, "key", "i"), indexed(cells, "context", "j").cache()
+    entries = cells.join(rows, "key").join(cols, "context").select("i", "j", "x")
+    v = CoordinateMatrix(entries.rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2]))).toIndexedRowMatrix().computeSVD(k, computeU=False).V.toArray()
+    right = fit_on.df.sparkSession.createDataFrame([(j, [float(x) for x in row]) for j, row in enumerate(v)], "j long, w array<double>")
+    space = cols.join(right, "j").select("context", "w")
+    out = None
+    for kind, cube in others.items():
+        part = cube.df.select(label(cube).alias("key"), "context", F.col("count").cast("double").alias("x")).join(space, "context")
+        part = part.select(F.lit(kind).alias("kind"), "key", F.posexplode(F.transform("w", lambda z: z * F.col("x"))).alias("d", "z")).groupBy("kind", "key", "d").agg(F.sum("z").alias("z"))
+        out = part if out is None else out.unionByName(part)
+    vec = out.groupBy("kind", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "z"))), lambda t: t["z"]).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return vec.select("kind", "key", F.transform("v", lambda x: F.try_divide(x, norm)).alias("v"))
+
+
 def explained(values: list[float]) -> list[float]:
     total = sum(x * x for x in values) or 1.0
     return [x * x / total for x in values]
@@ -133,3 +157,36 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     between, within = F.col("B") - F.col("S") * F.col("S") / F.col("N"), F.col("Q") - F.col("B")
     f = F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide(within, F.col("N") - F.col("k")))
     return t.select(between.alias("ss_between"), within.alias("ss_within"), (F.col("k") - 1).alias("df_between"), (F.col("N") - F.col("k")).alias("df_within"), f.alias("f_value"))
+
+
+def two_way_anova(df: DataFrame, first: str, second: str, value: str) -> DataFrame:
+    """Sums of squares, degrees of freedom and F of two factors without interaction, from balanced or unbalanced margins.
+
+    A factor's sum of squares is that of its own margin, so factors of unbalanced tables overlap.
+    """
+    v = F.col(value).cast("double")
+    rows = df.filter(F.col(first).isNotNull() & F.col(second).isNotNull() & v.isNotNull())
+    total = rows.agg(F.count(F.lit(1)).alias("N"), F.sum(v).alias("S"), F.sum(v * v).alias("Q"))
+    out = None
+    for name in (first, second):
+        g = rows.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"))
+        part = g.agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("B"), F.count(F.lit(1)).alias("k")).select(F.lit(name).alias("factor"), "B", "k")
+        out = part if out is None else out.unionByName(part)
+    both = out.crossJoin(F.broadcast(total)).select("factor", (F.col("B") - F.col("S") * F.col("S") / F.col("N")).alias("ss"), (F.col("k") - 1).alias("df"), (F.col("Q") - F.col("S") * F.col("S") / F.col("N")).alias("ss_total"), "N")
+    rest = both.agg((F.max("ss_total") - F.sum("ss")).alias("ss_rest"), (F.max("N") - 1 - F.sum("df")).alias("df_rest"))
+    return both.crossJoin(F.broadcast(rest)).select("factor", "ss", "df", "ss_rest", "df_rest", F.try_divide(F.col("ss") / F.col("df"), F.col("ss_rest") / F.col("df_rest")).alias("f_value"))
+
+
+def linear_summary(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
+    """Least squares: a row for each term with coefficient, standard error, t and p, and the fit's R squared."""
+    data = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="skip").transform(df)
+    m = LinearRegression(featuresCol="features", labelCol=label, solver="normal").fit(data)
+    s = m.summary
+    rows = zip([*cols, "(intercept)"], [*m.coefficients.toArray().tolist(), m.intercept], s.coefficientStandardErrors, s.tValues, s.pValues, strict=True)
+    return df.sparkSession.createDataFrame([(n, float(c), float(e), float(t), float(p), float(s.r2)) for n, c, e, t, p in rows], "term string, coefficient double, error double, t double, p double, r2 double")
+
+
+def accuracy_over_sets(scored: DataFrame, by: str) -> DataFrame:
+    """Mean and deviation over negative sets of the accuracy in each."""
+    per = scored.groupBy(by).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a"))
+    return per.agg(F.avg("a").alias("mean"), F.stddev_samp("a").alias("std"), F.count(F.lit(1)).alias("sets"))

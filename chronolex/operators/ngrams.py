@@ -219,3 +219,29 @@ def content_counts(tokens: DataFrame, key: str = "lemma", col: str = "tokens") -
     """Counts of content words with their tags; auxiliaries count as verbs."""
     t = tokens.select(F.explode(col).alias("t")).select(F.col(f"t.{key}").alias(key), F.when(F.col("t.pos") == "AUX", "VERB").otherwise(F.col("t.pos")).alias("pos"))
     return t.filter(F.col("pos").isin("NOUN", "PROPN", "VERB", "ADJ", "ADV")).groupBy(key, "pos").agg(F.count(F.lit(1)).alias("count"))
+
+
+def legacy_pairs(grams: DataFrame, keep: list[str], text: str = "fivegram_pos") -> DataFrame:
+    """Pairs of singular common nouns (`nn1`) in CLAWS-tagged five-grams: each alignment of which no third noun touches.
+
+    Tokens are `word_tag`; pair words must consist of a to z, dots and hyphens; contexts are the other slots that carry a
+    content tag, with universal tags.
+    """
+    from chronolex.functions.text import universal
+
+    t = F.split(text, r"\s+")
+    df = grams.filter(F.size(t) == 5).select(*keep, F.transform(t, lambda x: F.struct(F.regexp_replace(x, "_[^_]*$", "").alias("lemma"), F.regexp_extract(x, "_([^_]*)$", 1).alias("pos"))).alias("w"))
+    w = F.col("w")
+    noun = lambda k: w.getItem(k)["pos"] == "nn1"
+    plain = lambda k: w.getItem(k)["lemma"].rlike("^[a-z.-]+$")
+    named = lambda k: F.concat_ws("_", w.getItem(k)["lemma"], universal(w.getItem(k)["pos"]))
+    kind = "array<struct<modifier:string,head:string,context:string>>"
+    rows = []
+    for s in range(4):
+        test = noun(s) & noun(s + 1) & plain(s) & plain(s + 1)
+        for q in (s - 1, s + 2):
+            if 0 <= q < 5:
+                test = test & ~noun(q)
+        own = F.array(*(F.struct(named(s).alias("modifier"), named(s + 1).alias("head"), F.when(universal(w.getItem(q)["pos"]).isNotNull(), named(q)).alias("context")) for q in range(5) if q not in (s, s + 1)))
+        rows.append(F.when(test, F.filter(own, lambda x: x["context"].isNotNull())).otherwise(F.array().cast(kind)))
+    return df.select(*keep, F.explode(F.concat(*rows)).alias("s")).select(*keep, "s.*")

@@ -257,12 +257,11 @@ def posts_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.with_topic(table(spark, sf_dir, "conversations"), topics, "role").groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.' || k) AS value, k AS key FROM events, (SELECT unnest(json_keys(props)) AS k FROM events LIMIT 1)")
+@query("SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields of JSON posts."""
-    e = table(spark, sf_dir, "events")
-    first = e.select(F.explode(F.json_object_keys("props")).alias("key")).limit(1)
-    return e.crossJoin(F.broadcast(first)).select("event_id", F.from_json("props", "map<string,string>")[F.col("key")].alias("value"), "key")
+    """Fields of JSON posts by a declared schema."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    return corpora.json_posts(e, "props", T.StructType.fromDDL("k long")).select("event_id", "event_type", "k")
 
 
 @query("SELECT event_type, CAST(year(ts) AS INTEGER) AS year, count(*) AS count FROM events GROUP BY 1, 2")
