@@ -69,15 +69,28 @@ def alphabetic(word: Column) -> Column:
     return word.rlike("^[a-zA-Z]+$")
 
 
-def wanted_post(text: Column, boilerplate: tuple[str, ...] = ("[deleted]", "[removed]", "Your submission", "Your post", "Thank you for your submission", "I am a bot")) -> Column:
-    """Posts with text that moderation did not write or remove."""
+# How texts begin that moderation or a script has put in a post's place.
+BOILERPLATE = (
+    "This comment has been overwritten by an open source script to protect this user",
+    "Sorry, but this just got posted. And while reposts are allowed, we do remove multiples, which are a clone of an existing post.",
+    "Post removed for not being flaired.",
+)
+
+
+def wanted_post(text: Column, boilerplate: tuple[str, ...] = BOILERPLATE) -> Column:
+    """Posts with a text of their author's: not empty, not deleted, not boilerplate."""
     t = F.trim(text)
-    ok = t.isNotNull() & (t != "")
+    ok = t.isNotNull() & (t != "") & (t != "[deleted]")
     for b in boilerplate:
         ok = ok & ~t.startswith(b)
     return F.coalesce(ok, F.lit(False))
 
 
+def post_text(title: Column, body: Column) -> Column:
+    """Title and body as one text with single spaces."""
+    return F.trim(F.regexp_replace(F.concat_ws(" ", title, body), r"\s+", " "))
+
+
 def with_topic(posts: DataFrame, topics: DataFrame, col: str = "subreddit") -> DataFrame:
     """Posts of listed subreddits with their topic; topics (subreddit, topic) is a short list."""
     return posts.join(F.broadcast(topics.select(F.lower(col).alias("__s"), "topic")), F.lower(posts[col]) == F.col("__s")).drop("__s")

@@ -245,10 +245,13 @@ def unpack_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.unpacked(corpora.split_packed(lines)).select(F.col("ngram").cast("long").alias("ngram"), "year", "count")
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM conversations WHERE trim(text) <> '' AND NOT starts_with(trim(text), '[deleted]') AND NOT starts_with(trim(text), '[removed]') AND NOT starts_with(trim(text), 'Your submission') AND NOT starts_with(trim(text), 'Your post') AND NOT starts_with(trim(text), 'Thank you for your submission') AND NOT starts_with(trim(text), 'I am a bot')")
+POSTS = "trim(text) <> '' AND trim(text) <> '[deleted]'" + "".join(f" AND NOT starts_with(trim(text), '{b}')" for b in tx.BOILERPLATE)
+
+
+@query(f"SELECT conv_id, turn, trim(regexp_replace(concat_ws(' ', role, text), '\\s+', ' ', 'g')) AS body FROM conversations WHERE {POSTS}")
 def posts_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").filter(tx.wanted_post(F.col("text")))
-    return c.select("conv_id", "turn", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("body"))
+    return c.select("conv_id", "turn", tx.post_text(F.col("role"), F.col("text")).alias("body"))
 
 
 @query("SELECT t.topic, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations JOIN (VALUES ('user', 'ask'), ('assistant', 'answer')) t(role, topic) USING (role) GROUP BY 1")
