@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame
 from chronolex.llm.common import col, id_type, map_texts
 
 WINDOW = 3
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|template|noscript|iframe|svg|select|title|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|template|noscript|iframe|svg|select|title|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)", re.S | re.I)
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("address article aside blockquote body center details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 head header html main menu nav ol pre section table ul p li td th dd dt span figcaption".split())
 DROPPED = frozenset("nav footer aside form head menu dialog header".split())
 MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advert(?:isement|ising)|sponsor(?:ed)?|promo(?:tion)?|banner|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|site-?header|masthead|top-?bar|footer|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|sign-up|login|search|comments?|comment-?list|disqus|replies|reply|respond|related|recommend(?:ed|ations)?|share|sharing|social|widget|pagination|pager|skip-?link|copyright|legal|disclaimer)(?:$|[\s_-]|\d)", re.I)
+HEADER = re.compile(r"(?:^|\s)(?:page|site|main|top|global)?[_-]?header(?:$|\s)", re.I)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 VOID_BLOCKS = frozenset(("hr",))
+CONTENT = re.compile(r"(?:^|\s)(?:article|post|story|entry)(?:-(?:body|content|text|main))?(?:$|\s)|(?:^|\s)(?:main|page|body)-?content(?:$|\s)|(?:^|\s)content-?(?:body|main)(?:$|\s)", re.I)
 
 
 def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
@@ -39,7 +41,20 @@ def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and MARKED.search(value):
+        if name in ("class", "id") and (MARKED.search(value) or not in_article and HEADER.search(value)):
+            return True
+    return False
+
+
+def begins_article(tag: str, attributes: str) -> bool:
+    """An article or main element, or a container that says in its role, class or id that it is one."""
+    if tag in ("article", "main"):
+        return True
+    if not attributes or tag not in ("div", "section", "td"):
+        return False
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "role" and value.lower() in ("main", "article") or name in ("class", "id") and CONTENT.search(value):
             return True
     return False
 
@@ -102,13 +117,11 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
                     stack.pop()
                 _, skip, inside = stack[-1]
             own = unwanted(tag, attributes, inside)
-            if tag == "span" and not own:
-                own = False
-            elif own and tag == "span":
+            if own and tag == "span":
                 end_line()
             if tag in ("h1", "h2") and inside and stack[-1][0] == "header" and not own:
                 skip = any(s for _, s, _ in stack[:-1])
-            stack.append((tag, skip or own, inside or tag in ("article", "main")))
+            stack.append((tag, skip or own, inside or begins_article(tag, attributes)))
     add(page[at:].rpartition("<")[0] if re.match(r"[^<]*<[A-Za-z/!][^<>]*\Z", page[at:]) else page[at:])
     end_line()
     return out

@@ -5,7 +5,7 @@ from chronolex.llm import html_lines, registry
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{a>b}</style><script>var t="</p><p>no";</script></head><body class="main-menu-open">
 <header class="site-header"><a href="/">Site</a></header><nav><ul><li><a href="/a">A</a><li><a href="/b">B</a></ul></nav>
-<div class="cookie-notice">We use cookies.</div><aside>Side text that is long enough to count as text in any case, surely.</aside>
+<div id="header"><p>Some site header</p></div><div class="cookie-notice">We use cookies.</div><aside>Side text that is long enough to count as text in any case, surely.</aside>
 {open}<header><h1>Title &amp; more</h1><p>By someone</p></header><p>First   para&shy;graph<br>with&nbsp;a <b>bold <i>word</b> and 1 &lt; 2.
 <p>Of.</p><div class="ad">Buy now</div><blockquote>Quoted text</blockquote><ul><li>one<li>two</ul><form><label>Mail</label><input></form>
 <section id="comments"><h2>Comments</h2><p>Nice one!</p></section><p>Last.</p>{close}
@@ -17,6 +17,12 @@ def test_article_page():
     assert text.split("\n\n") == ["Title & more", "First para\xadgraph with a bold word and 1 < 2.", "Of.", "Quoted text", "one", "two", "Last."]
 
 
+def test_other_article_marks():
+    want = html_lines.main_text(PAGE.replace("{open}", "<article>").replace("{close}", "</article>"))
+    for tag in ('div class="post-content wide"', "div id=article", "section role='main'", "main"):
+        assert html_lines.main_text(PAGE.replace("{open}", f"<{tag}>").replace("{close}", f"</{tag.split()[0]}>")) == want
+
+
 def test_page_without_article_marks():
     body = "".join(f"<p>Paragraph {k} of a text that goes on for a good while, as articles do.</p>" for k in range(5))
     page = f"<body><nav><a href=x>Home</a></nav><div><a href=a>Link one</a></div><div><a href=b>Link two</a></div>{body}<div><a href=c>Next page of links to read</a></div></body>"
