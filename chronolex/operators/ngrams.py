@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +57,7 @@ def windows(tokens: DataFrame, keep: list[str], size: int = 5, col: str = "token
     n = F.size(col)
     at = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
     out = tokens.select(*keep, F.explode(at).alias("place"), F.col(col).alias("__t"))
-    return out.select(*keep, "place", F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.element_at("__t", F.col("place") + k)).alias("w"))
+    return out.select(*keep, "place", F.slice("__t", F.col("place") + 1, F.lit(size)).alias("w"))
 
 
 def lemma_pos(window: Column) -> Column:
@@ -73,29 +76,64 @@ def padded(tokens: Column, size: int = 5) -> Column:
     return F.slice(F.concat(tokens, F.array_repeat(end, size)), 1, F.greatest(F.size(tokens), F.lit(size)))
 
 
-def pattern_class(pos: Column) -> Column:
+def class_of(tags: Sequence[str]) -> int:
     """Class 0 to 12 of five tags: noun-noun patterns 1 to 5, adjective-noun 6 to 10, mixed 11 and 12.
 
     Within a base, 0 is a pair on both sides of the middle, 1 a pair on the left, 2 and 3 one inside, 4 one on the right.
     """
-    noun = [pos.getItem(k).isin(*NOUNS) for k in range(5)]
-    adj = [pos.getItem(k) == "ADJ" for k in range(4)]
-    nn = [noun[k] & noun[k + 1] for k in range(4)]
-    an = [adj[k] & noun[k + 1] for k in range(4)]
-    gap = ~noun[2]
-    out = F.when(an[0] & gap & nn[3], 12).when(nn[0] & gap & an[3], 11)
+    noun = [t in NOUNS for t in tags]
+    nn = [noun[k] and noun[k + 1] for k in range(4)]
+    an = [tags[k] == "ADJ" and noun[k + 1] for k in range(4)]
+    gap = not noun[2]
+    if an[0] and gap and nn[3]:
+        return 12
+    if nn[0] and gap and an[3]:
+        return 11
     for base, p in ((6, an), (1, nn)):
-        both = p[0] & gap & p[3]
-        out = out.when(~both & gap & p[3], base + 4).when(~noun[1] & p[2] & ~noun[4], base + 3).when(~noun[0] & p[1] & ~noun[3], base + 2).when(~both & p[0] & gap, base + 1).when(both, base)
-    return out.otherwise(0)
+        left, right = p[0] and gap, p[3] and gap
+        if right and not left:
+            return base + 4
+        if p[2] and not noun[1] and not noun[4]:
+            return base + 3
+        if p[1] and not noun[0] and not noun[3]:
+            return base + 2
+        if left:
+            return base if right else base + 1
+    return 0
+
+
+def noun_class_of(tags: Sequence[str]) -> int:
+    """Class 0 to 5: noun-noun patterns only."""
+    c = class_of(["NOUN" if t in NOUNS else "X" for t in tags])
+    return c if c <= 5 else 0
+
+
+def code(pos: Column, size: int = 5) -> Column:
+    """Tags as a number to base 3: 1 for a noun, 2 for an adjective, 0 for others."""
+    out = F.lit(0)
+    for k in range(size):
+        p = pos.getItem(k)
+        out = out * 3 + F.when(p.isin(*NOUNS), 1).when(p == "ADJ", 2).otherwise(0)
+    return out
+
+
+def tags_of(number: int, size: int = 5) -> list[str]:
+    """Tags with this code."""
+    return [("X", "NOUN", "ADJ")[number // 3 ** (size - 1 - k) % 3] for k in range(size)]
+
+
+def table(of: Callable[[list[str]], object], kind: str, size: int = 5) -> Column:
+    """A constant array with the rule's value for each code. One lookup replaces a long chain of tests for every window."""
+    return F.from_json(F.lit(json.dumps([of(tags_of(c, size)) for c in range(3**size)])), f"array<{kind}>")
+
+
+def pattern_class(pos: Column) -> Column:
+    """class_of an array of five tags."""
+    return F.element_at(table(class_of, "int"), code(pos) + 1)
 
 
 def noun_class(pos: Column) -> Column:
-    """Class 0 to 5: noun-noun patterns only."""
-    noun = [pos.getItem(k).isin(*NOUNS) for k in range(5)]
-    nn = [noun[k] & noun[k + 1] for k in range(4)]
-    both = nn[0] & ~noun[2] & nn[3]
-    return F.when(~both & ~noun[2] & nn[3], 5).when(~noun[1] & nn[2] & ~noun[4], 4).when(~noun[0] & nn[1] & ~noun[3], 3).when(~both & nn[0] & ~noun[2], 2).when(both, 1).otherwise(0)
+    return F.element_at(table(noun_class_of, "int"), code(pos) + 1)
 
 
 def _slot(window: Column, k: int) -> Column:
@@ -112,46 +150,87 @@ PAIR_AT = {1: (0, 3), 2: (0,), 3: (1,), 4: (2,), 5: (3,)}
 PAIR_AT |= {k + 5: v for k, v in PAIR_AT.items()} | {11: (0, 3), 12: (0, 3)}
 
 
+SLOTS = "array<struct<r:string,m:int,h:int,c:int>>"
+
+
+def aware_of(klass: int) -> list[dict]:
+    """Roles and slots of a class: contexts of each compound, modifier and head."""
+    out = []
+    for s in PAIR_AT.get(klass, ()):
+        out += [{"r": "compound", "m": s, "h": s + 1, "c": q} for q in range(5) if q not in (s, s + 1)]
+        out += [{"r": "modifier", "m": s, "h": None, "c": q} for q in near(s)]
+        out += [{"r": "head", "m": None, "h": s + 1, "c": q} for q in near(s + 1)]
+    return out
+
+
+def phrases_of(tags: list[str]) -> list[dict]:
+    """Slots of each pair of these tags that has no noun at its sides; pairs do not exclude each other."""
+    outside = {0: (2,), 1: (0, 3), 2: (1, 4), 3: (2,)}
+    noun = [t in NOUNS for t in tags]
+    return [{"m": s, "h": s + 1, "c": q} for s in range(4) if (noun[s] or tags[s] == "ADJ") and noun[s + 1] and not any(noun[q] for q in outside[s]) for q in range(5) if q not in (s, s + 1)]
+
+
+def words_slots_of(tags: list[str]) -> list[dict]:
+    return [{"m": k, "c": q} for k, t in enumerate(tags) if t in NOUNS or t == "ADJ" for q in near(k)]
+
+
+def fours_of(tags: list[str]) -> list[dict]:
+    noun = [t in NOUNS for t in tags]
+    return [{"m": s, "h": s + 1, "c": q} for s in range(3) if noun[s] and noun[s + 1] and not any(noun[q] for q in (s - 1, s + 2) if 0 <= q < 4) for q in range(4) if q not in (s, s + 1)]
+
+
+def _emit(df: DataFrame, keep: list[str], slots: Column, window: str, names: dict[str, str]) -> DataFrame:
+    """A row for each entry of slots; names gives each output column the field that holds its slot."""
+    w = F.col(window)
+
+    def word(field: str) -> Column:
+        t = w[F.col(f"__s.{field}")]
+        return F.when(F.col(f"__s.{field}").isNotNull(), F.concat_ws("_", t["lemma"], t["pos"]))
+
+    rows = df.select(*keep, window, F.explode(slots).alias("__s"))
+    role = [F.col("__s.r").alias("role")] if "role" in names else []
+    return rows.select(*keep, *role, *(word(f).alias(n) for n, f in names.items() if n != "role"))
+
+
 def aware_slots(classified: DataFrame, keep: list[str], window: str = "w", klass: str = "comp_class") -> DataFrame:
     """A row (role, modifier, head, context) for each context of each compound, modifier and head in classified windows."""
-    w = F.col(window)
-    pairs: dict[int, list[int]] = {}
-    for c, starts in PAIR_AT.items():
-        for s in starts:
-            pairs.setdefault(s, []).append(c)
-    rows = []
-    none = F.lit(None).cast("string")
-    for s, classes in sorted(pairs.items()):
-        m, h = _slot(w, s), _slot(w, s + 1)
-        own = [F.struct(F.lit("compound").alias("role"), m.alias("modifier"), h.alias("head"), _slot(w, q).alias("context")) for q in range(5) if q not in (s, s + 1)]
-        own += [F.struct(F.lit("modifier").alias("role"), m.alias("modifier"), none.alias("head"), _slot(w, q).alias("context")) for q in near(s)]
-        own += [F.struct(F.lit("head").alias("role"), none.alias("modifier"), h.alias("head"), _slot(w, q).alias("context")) for q in near(s + 1)]
-        rows.append(F.when(F.col(klass).isin(*classes), F.array(*own)).otherwise(F.array().cast("array<struct<role:string,modifier:string,head:string,context:string>>")))
-    return classified.filter(F.col(klass) > 0).select(*keep, F.explode(F.concat(*rows)).alias("s")).select(*keep, "s.*")
+    slots = F.from_json(F.lit(json.dumps([aware_of(c) for c in range(13)])), f"array<{SLOTS}>")
+    found = classified.filter(F.col(klass) > 0)
+    return _emit(found, keep, F.element_at(slots, F.col(klass) + 1), window, {"role": "r", "modifier": "m", "head": "h", "context": "c"})
 
 
 def phrase_slots(tokens: DataFrame, keep: list[str], window: str = "w") -> DataFrame:
-    """(modifier, head, context) for each of the eight patterns a window shows; patterns do not exclude each other."""
-    w = F.col(window)
-    noun = lambda k: w.getItem(k)["pos"].isin(*NOUNS)
-    adj = lambda k: w.getItem(k)["pos"] == "ADJ"
-    outside = {0: (2,), 1: (0, 3), 2: (1, 4), 3: (2,)}
-    rows = []
-    for s in range(4):
-        free = F.lit(True)
-        for q in outside[s]:
-            free = free & ~noun(q)
-        for first in (noun(s), adj(s)):
-            own = F.array(*(F.struct(_slot(w, s).alias("modifier"), _slot(w, s + 1).alias("head"), _slot(w, q).alias("context")) for q in range(5) if q not in (s, s + 1)))
-            rows.append(F.when(first & noun(s + 1) & free, own).otherwise(F.array().cast("array<struct<modifier:string,head:string,context:string>>")))
-    return tokens.select(*keep, F.explode(F.concat(*rows)).alias("s")).select(*keep, "s.*")
+    """(modifier, head, context) for each pattern a window shows."""
+    return _emit(tokens, keep, F.element_at(table(phrases_of, SLOTS), code(F.col(f"{window}.pos")) + 1), window, {"modifier": "m", "head": "h", "context": "c"})
 
 
 def word_slots(tokens: DataFrame, keep: list[str], window: str = "w") -> DataFrame:
     """(word, context) for each slot that holds a noun, proper noun or adjective."""
-    w = F.col(window)
-    rows = [F.when(w.getItem(k)["pos"].isin(*NOUNS, "ADJ"), F.array(*(F.struct(_slot(w, k).alias("word"), _slot(w, q).alias("context")) for q in near(k)))).otherwise(F.array().cast("array<struct<word:string,context:string>>")) for k in range(5)]
-    return tokens.select(*keep, F.explode(F.concat(*rows)).alias("s")).select(*keep, "s.*")
+    return _emit(tokens, keep, F.element_at(table(words_slots_of, SLOTS), code(F.col(f"{window}.pos")) + 1), window, {"word": "m", "context": "c"})
+
+
+def document_slots(tokens: DataFrame, keep: list[str], of: Callable[[list[str]], list[dict]], names: dict[str, str], size: int = 5, col: str = "tokens") -> DataFrame:
+    """The slots of all windows of each row of tokens, without building the windows.
+
+    Tokens are written as `lemma_POS` and coded once for each row; a window is then a place, its code five look-ups, and only
+    windows with slots are kept. `of` gives a tag pattern's slots (phrases_of, words_slots_of, fours_of, aware_slots_of).
+    """
+    texts = F.transform(col, lambda t: F.concat_ws("_", t["lemma"], t["pos"])).alias("__texts")
+    codes = F.transform(col, lambda t: F.when(t["pos"].isin(*NOUNS), 1).when(t["pos"] == "ADJ", 2).otherwise(0)).alias("__codes")
+    coded = tokens.filter(F.size(col) >= size).select(*keep, texts, codes)
+    placed = coded.select(*keep, "__texts", "__codes", F.explode(F.sequence(F.lit(0), F.size("__codes") - size)).alias("__p"))
+    number = F.lit(0)
+    for k in range(size):
+        number = number * 3 + F.col("__codes")[F.col("__p") + k]
+    some = [c for c in range(3**size) if of(tags_of(c, size))]
+    found = placed.select(*keep, "__texts", "__p", number.alias("__n")).filter(F.col("__n").isin(*some))
+    rows = found.select(*keep, "__texts", "__p", F.explode(F.element_at(table(of, SLOTS, size), F.col("__n") + 1)).alias("__s"))
+    role = [F.col("__s.r").alias("role")] if "role" in names else []
+    return rows.select(*keep, *role, *(F.col("__texts")[F.col("__p") + F.col(f"__s.{f}")].alias(n) for n, f in names.items() if n != "role"))
+
+
+def aware_slots_of(tags: list[str]) -> list[dict]:
+    return aware_of(class_of(tags))
 
 
 def linked_slots(tokens: DataFrame, keep: list[str], link: tuple[str, ...], head_first: bool, window: str = "w") -> DataFrame:
@@ -171,17 +250,7 @@ def linked_slots(tokens: DataFrame, keep: list[str], link: tuple[str, ...], head
 
 def four_slots(tokens: DataFrame, keep: list[str], window: str = "w") -> DataFrame:
     """The rule on windows of four: a noun pair whose neighbours are no nouns; contexts are the other two."""
-    w = F.col(window)
-    noun = lambda k: w.getItem(k)["pos"].isin(*NOUNS)
-    rows = []
-    for s in range(3):
-        test = noun(s) & noun(s + 1)
-        for q in (s - 1, s + 2):
-            if 0 <= q < 4:
-                test = test & ~noun(q)
-        own = F.array(*(F.struct(_slot(w, s).alias("modifier"), _slot(w, s + 1).alias("head"), _slot(w, q).alias("context")) for q in range(4) if q not in (s, s + 1)))
-        rows.append(F.when(test, own).otherwise(F.array().cast("array<struct<modifier:string,head:string,context:string>>")))
-    return tokens.select(*keep, F.explode(F.concat(*rows)).alias("s")).select(*keep, "s.*")
+    return _emit(tokens, keep, F.element_at(table(fours_of, SLOTS, 4), code(F.col(f"{window}.pos"), 4) + 1), window, {"modifier": "m", "head": "h", "context": "c"})
 
 
 def cube_of(slots: DataFrame, keys: tuple[str, ...], count: Column | None = None) -> Cube:

@@ -52,8 +52,13 @@ def _windows(spark: SparkSession, sf_dir: str, size: int = 5) -> DataFrame:
     return ngrams.windows(ngrams.annotate(_docs(spark, sf_dir), ["doc_id", "time"]), ["doc_id", "time"], size)
 
 
+def _slots(spark: SparkSession, sf_dir: str, of, keys: tuple[str, ...], size: int = 5) -> DataFrame:
+    names = {k: {"modifier": "m", "head": "h", "word": "m"}[k] for k in keys} | {"context": "c"}
+    return ngrams.document_slots(ngrams.annotate(_docs(spark, sf_dir), ["time"]), ["time"], of, names, size)
+
+
 def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pos = F.transform("w", lambda t: t["pos"])
+    pos = F.col("w.pos")
     return _windows(spark, sf_dir).withColumn("comp_class", ngrams.pattern_class(pos)).withColumn("noun_class", ngrams.noun_class(pos))
 
 
@@ -66,7 +71,7 @@ def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql(WORDS, TOKENS, WIN5) + "SELECT time, p0 || ' ' || p1 || ' ' || p2 || ' ' || p3 || ' ' || p4 AS tags, count(*) AS n FROM win GROUP BY 1, 2")
 def fivegrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = F.array_join(F.transform("w", lambda t: t["pos"]), " ")
+    tags = F.array_join("w.pos", " ")
     return _windows(spark, sf_dir).groupBy("time", tags.alias("tags")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -119,19 +124,19 @@ def _cut_sql(slots: str, keys: str, cutoff: int) -> str:
 @query(with_sql(WORDS, TOKENS, WIN5, CLASSED) + _cut_sql(_aware_sql("compound"), "modifier, head", 10))
 def cube_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compounds inside patterns, above a cutoff of 10."""
-    slots = ngrams.aware_slots(_classed(spark, sf_dir), ["time"]).filter("role = 'compound'")
+    slots = _slots(spark, sf_dir, lambda tags: [s for s in ngrams.aware_slots_of(tags) if s["r"] == "compound"], ("modifier", "head"))
     return ngrams.cube_of(slots, ("modifier", "head")).above(10).df
 
 
 @query(with_sql(WORDS, TOKENS, WIN5, CLASSED) + _cut_sql(_aware_sql("modifier"), "modifier", 50))
 def cube_aware_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = ngrams.aware_slots(_classed(spark, sf_dir), ["time"]).filter("role = 'modifier'")
+    slots = _slots(spark, sf_dir, lambda tags: [s for s in ngrams.aware_slots_of(tags) if s["r"] == "modifier"], ("modifier",))
     return ngrams.cube_of(slots, ("modifier",)).above(50).df
 
 
 @query(with_sql(WORDS, TOKENS, WIN5, CLASSED) + _cut_sql(_aware_sql("head"), "head", 50))
 def cube_aware_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = ngrams.aware_slots(_classed(spark, sf_dir), ["time"]).filter("role = 'head'")
+    slots = _slots(spark, sf_dir, lambda tags: [s for s in ngrams.aware_slots_of(tags) if s["r"] == "head"], ("head",))
     return ngrams.cube_of(slots, ("head",)).above(50).df
 
 
@@ -148,7 +153,7 @@ def _phrase_sql() -> str:
 @query(with_sql(WORDS, TOKENS, WIN5) + _cut_sql(_phrase_sql(), "modifier, head", 20))
 def cube_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any pattern match, patterns not exclusive, above a cutoff of 20."""
-    return ngrams.cube_of(ngrams.phrase_slots(_windows(spark, sf_dir), ["time"]), ("modifier", "head")).above(20).df
+    return ngrams.cube_of(_slots(spark, sf_dir, ngrams.phrases_of, ("modifier", "head")), ("modifier", "head")).above(20).df
 
 
 WORD_SQL = " UNION ALL ".join(f"SELECT {_s(k)} AS word, {_s(q)} AS context, time FROM win WHERE p{k} IN ('NOUN', 'PROPN', 'ADJ')" for k in range(5) for q in range(5) if q != k and abs(q - k) <= 3)
@@ -157,7 +162,7 @@ WORD_SQL = " UNION ALL ".join(f"SELECT {_s(k)} AS word, {_s(q)} AS context, time
 @query(with_sql(WORDS, TOKENS, WIN5) + _cut_sql(WORD_SQL, "word", 200))
 def cube_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nouns and adjectives with their windows, above a cutoff of 200."""
-    return ngrams.cube_of(ngrams.word_slots(_windows(spark, sf_dir), ["time"]), ("word",)).above(200).df
+    return ngrams.cube_of(_slots(spark, sf_dir, ngrams.words_slots_of, ("word",)), ("word",)).above(200).df
 
 
 def _linked_sql(link: tuple[str, ...], head_first: bool) -> str:
@@ -187,7 +192,7 @@ def _four_sql() -> str:
 
 @query(with_sql(WORDS, TOKENS, f"w4 AS (SELECT * FROM ({_leads(4)}) WHERE l3 IS NOT NULL)") + _cut_sql(_four_sql(), "modifier, head", 10))
 def cube_fourgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.cube_of(ngrams.four_slots(_windows(spark, sf_dir, 4), ["time"]), ("modifier", "head")).above(10).df
+    return ngrams.cube_of(_slots(spark, sf_dir, ngrams.fours_of, ("modifier", "head"), 4), ("modifier", "head")).above(10).df
 
 
 @query(with_sql(WORDS, TOKENS, f"w2 AS (SELECT t.*, lead(lemma) OVER o AS head, lead(pos) OVER o AS p1, lead(pos, 2) OVER o AS p2, lag(lemma, 2) OVER o AS b2, lag(lemma) OVER o AS b1, lead(lemma, 2) OVER o AS a1, lead(lemma, 3) OVER o AS a2 FROM toks t WINDOW o AS (PARTITION BY doc_id ORDER BY k))") + "SELECT doc_id, CAST(k AS INTEGER) AS k, lemma AS modifier, head, concat_ws(' ', b2, b1) AS \"left\", concat_ws(' ', a1, a2) AS \"right\" FROM w2 WHERE lang <> 'xx' AND pos = 'NOUN' AND p1 = 'NOUN' AND coalesce(p2, 'X') <> 'NOUN'")

@@ -81,3 +81,16 @@ def test_runs_labels_and_adjacent_pairs(spark):
     rows = ngrams.adjacent_pairs(noun, ["id"]).collect()
     assert [(r["modifier"], r["head"], r["left"], r["right"]) for r in rows] == [("b", "c", "a", "d e"), ("e", "f", "c d", "")]
     assert {(r["lemma"], r["pos"]) for r in ngrams.content_counts(spark.createDataFrame([([("is", "AUX"), ("a", "DET")],)], "tokens array<struct<lemma:string,pos:string>>")).collect()} == {("is", "VERB")}
+
+
+def test_documents_yield_the_slots_of_their_windows(spark):
+    words = [("a", "NOUN"), ("b", "NOUN"), ("c", "VERB"), ("d", "ADJ"), ("e", "NOUN"), ("f", "X"), ("g", "PROPN"), ("h", "NOUN")]
+    df = spark.createDataFrame([(1, words), (2, words[:4]), (3, words[2:])], "time int, tokens array<struct<lemma:string,pos:string>>")
+    w = ngrams.windows(df, ["time"]).withColumn("comp_class", ngrams.pattern_class(F.col("w.pos")))
+    rows = lambda x: sorted(map(str, map(tuple, x.collect())))
+    pair = {"modifier": "m", "head": "h", "context": "c"}
+    assert rows(ngrams.document_slots(df, ["time"], ngrams.phrases_of, pair)) == rows(ngrams.phrase_slots(w, ["time"])) != []
+    assert rows(ngrams.document_slots(df, ["time"], ngrams.words_slots_of, {"word": "m", "context": "c"})) == rows(ngrams.word_slots(w, ["time"])) != []
+    assert rows(ngrams.document_slots(df, ["time"], ngrams.fours_of, pair, size=4)) == rows(ngrams.four_slots(ngrams.windows(df, ["time"], 4), ["time"])) != []
+    compounds = ngrams.aware_slots(w, ["time"]).filter("role = 'compound'").drop("role")
+    assert rows(ngrams.document_slots(df, ["time"], lambda t: [s for s in ngrams.aware_slots_of(t) if s["r"] == "compound"], pair)) == rows(compounds) != []
