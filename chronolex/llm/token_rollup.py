@@ -11,31 +11,36 @@ documents and tokens are both zero are left out of the totals; no batches give n
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronolex.llm.common import col, id_type, map_texts, texts
+from chronolex.llm.common import col, id_type, map_texts
 from chronolex.llm.tokens import FOLDER, rank_bpe, word_bpe
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = T.StructType([T.StructField(k, T.StringType()) for k in KEYS] + [T.StructField(x, T.LongType()) for x in ("docs", "tokens", "changes")])
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER) -> DataFrame:
-    """doc_id, n_byte (byte-level vocabulary) and n_word (word vocabulary): tokens of every whole text; null texts have none."""
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_byte (byte-level vocabulary), n_word (word vocabulary) and text_key (a digest) of every whole text; null
+    texts count as empty. `keep` columns, as strings, go along, so that nothing has to be joined to them."""
 
     def make():
         byte, word = rank_bpe(folder), word_bpe(folder)
 
         def f(rows):
-            return {"doc_id": rows["doc_id"], "n_byte": [byte.count(t) for t in rows["text"]], "n_word": [len(x) // 4 for x in word.encode(rows["text"])]}
+            keys = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in rows["text"]]
+            return {"doc_id": rows["doc_id"], "n_byte": [byte.count(t) for t in rows["text"]], "n_word": [len(x) // 4 for x in word.encode(rows["text"])], "text_key": keys} | {f"keep_{k}": rows[f"keep_{k}"] for k in range(len(keep))}
 
         return f
 
-    return map_texts(texts(docs, id_col, text_col), make, f"doc_id {id_type(docs, id_col)}, n_byte long, n_word long")
+    own = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"), *(col(c).cast("string").alias(f"keep_{k}") for k, c in enumerate(keep)))
+    out = map_texts(own, make, f"doc_id {id_type(docs, id_col)}, n_byte long, n_word long, text_key string" + "".join(f", keep_{k} string" for k in range(len(keep))))
+    return out.select("doc_id", "n_byte", "n_word", "text_key", *(F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)))
 
 
 def signed(changes: DataFrame, op: Column, n: Column, old: Column) -> DataFrame:
