@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import col, id_type, map_texts, prepare, texts
+from chronolex.llm.common import col, id_type, map_texts, prepare, stored, texts
 
 WINDOW = 3
 SPACE = " \t\r\x0b\x0c"
@@ -71,7 +71,7 @@ def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     at = occurrences(docs, id_col, text_col, window)
     first = at.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = at.join(first, ["h1", "h2"]).filter(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
+    later = at.join(stored(first, "repeated-windows"), ["h1", "h2"]).filter(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 
