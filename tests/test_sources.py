@@ -98,7 +98,7 @@ def test_text_functions(spark):
     assert one(tx.adjective(lit("a/ADJ"), lit("a"))) and one(tx.adjective(lit("a/NOUN"), lit("hot"), ("hot",))) and not one(tx.adjective(lit(None).cast("string"), lit("a")))
     assert one(tx.opaque(lit(1), lit(0), lit(1))) and not one(tx.opaque(lit(1), lit(0)))
     assert one(tx.detokenised(F.array(*map(lit, ("It", "is", "n't", "so", ",", "Bob", "'s", "!"))))) == "It isn't so, Bob's!"
-    assert one(tx.decade_of(lit("coha_1970s.zip"))) == 1970 and one(tx.spelling_distance(lit("kitten"), lit("sitting"))) == 3
+    assert one(tx.decade_of(lit("corpus_1970s.zip"))) == 1970 and one(tx.spelling_distance(lit("kitten"), lit("sitting"))) == 3
     assert not one(tx.wanted_post(lit("[deleted]"))) and not one(tx.wanted_post(lit(" "))) and not one(tx.wanted_post(lit(None).cast("string"))) and one(tx.all_unknown(F.array(lit("X"), lit("X"))))
     lem = tx.lemmas(spark.createDataFrame([("dogs", "NOUN"), ("ran", "VERB")], "w string, p string"), spark.createDataFrame([("dogs", "NOUN", "dog")], "word string, pos string, lemma string"), "w", "p")
     assert {r["w"] for r in lem.collect()} == {"dog", "ran"}
