@@ -90,7 +90,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_mpeg, op3_line_windows, op4_token_rollup, op5_simhash, op6_langid, op7_html, op8_packing, op9_toxicity, op10_decontamination)}
 
+WORDS_SQL = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+LEADS = ", ".join(f"lead(w, {k}) OVER o" for k in range(1, decontam.WINDOW))
+
 ORACLE: dict[str, str] = {
+    "op10_decontamination": f"""
+WITH items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, {WORDS_SQL.format('text')} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+grams AS (
+  SELECT DISTINCT item, size, array_to_string(w[k:k + size - 1], ' ') AS g
+  FROM (SELECT item, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM grams),
+docs AS (SELECT doc_id, {WORDS_SQL.format("coalesce(text, '')")} AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM docs),
+places AS (SELECT doc_id, k, [w, {LEADS}] AS a FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+hits AS (
+  SELECT p.doc_id, p.k, p.size, g.item
+  FROM (SELECT doc_id, k, size, array_to_string(a[1:size], ' ') AS g FROM places, sizes WHERE a[size] IS NOT NULL) p JOIN grams g ON p.size = g.size AND p.g = g.g),
+hit_words AS (SELECT doc_id, count(DISTINCT k + o) AS n_hit FROM (SELECT doc_id, k, unnest(range(0, size)) AS o FROM hits) GROUP BY 1),
+hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM docs d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items i ON d.doc_id = i.doc_id""",
     "op3_line_windows": """
 WITH raw AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
