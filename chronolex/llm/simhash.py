@@ -90,7 +90,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = least.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     of = stored(of, "roots")
     # a third of all fingerprints may have one root: minima are pre-aggregated, and the join's long side can be split
-    root_id = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    root_id = stored(of.groupBy("root").agg(F.min("least_id").alias("component_id")), "root-ids")
     of = of.join(root_id, "root").select(F.col("fp").alias("__fp"), "component_id")
     return fps.join(of, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
@@ -158,10 +158,12 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
 def _starred(rows: DataFrame, key: str) -> DataFrame:
     """Pairs of each row's doc_id with its key's centre, one doc_id chosen by a hash of key and doc_id.
 
-    Choosing is pre-aggregated and pairs are linear in the rows, so a key that a third of all rows hold stays cheap.
+    Choosing is pre-aggregated, pairs are linear in the rows and centres are written before the join, so that Spark can split
+    a key that a third of all rows hold.
     """
     ranked = rows.withColumn("rank", F.struct(F.xxhash64(key, "doc_id").alias("h"), "doc_id"))
     centre = ranked.groupBy(key).agg(F.min("rank").alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(key, F.col("c.doc_id").alias("centre"))
+    centre = stored(centre, "centres")
     met = rows.join(centre, key).filter("doc_id <> centre")
     return met.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
 
