@@ -155,17 +155,19 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
     return map_texts(texts(docs, id_col, text_col), make, f"doc_id {id_type(docs, id_col)}, same string, fp long, bands array<long>")
 
 
+#: Pairs of one centre that are verified together; a centre with more is dealt out by a salt.
+PAIRS_AT_ONCE = 500
+
+
 def _starred(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs of each row's doc_id with its key's centre, one doc_id chosen by a hash of key and doc_id.
+    """Pairs (a, b) of each row's doc_id with its key's centre, one doc_id chosen by a hash of key and doc_id; n: rows of the key.
 
     Choosing is pre-aggregated, pairs are linear in the rows and centres are written before the join, so that Spark can split
     a key that a third of all rows hold.
     """
     ranked = rows.withColumn("rank", F.struct(F.xxhash64(key, "doc_id").alias("h"), "doc_id"))
-    centre = ranked.groupBy(key).agg(F.min("rank").alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(key, F.col("c.doc_id").alias("centre"))
-    centre = stored(centre, "centres")
-    met = rows.join(centre, key).filter("doc_id <> centre")
-    return met.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
+    centre = ranked.groupBy(key).agg(F.min("rank").alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(key, F.col("c.doc_id").alias("b"), "n")
+    return rows.join(stored(centre, "centres"), key).select(F.col("doc_id").alias("a"), "b", "n")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
@@ -182,9 +184,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     centres = heads.groupBy("fp").agg(F.min("doc_id").alias("c"))
     balls = links(centres.select("fp"), radius)
     balls = balls.join(centres.select(F.col("fp").alias("a"), F.col("c").alias("ca")), "a").join(centres.select(F.col("fp").alias("b"), F.col("c").alias("cb")), "b")
-    by_ball = balls.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+    by_ball = balls.select(F.col("ca").alias("a"), F.col("cb").alias("b"), F.lit(1).cast("long").alias("n"))
     by_band = _starred(heads.select("doc_id", F.explode("bands").alias("band")), "band")
-    pairs = stored(by_ball.union(_starred(heads.select("doc_id", "fp"), "fp")).union(by_band).filter("a <> b").distinct(), "candidates")
+    pairs = by_ball.union(_starred(heads.select("doc_id", "fp"), "fp")).union(by_band).filter("a <> b").groupBy("a", "b").agg(F.max("n").alias("n"))
+    salts = F.ceil(F.col("n") / PAIRS_AT_ONCE).cast("int")
+    pairs = stored(pairs.select("a", "b", salts.alias("salts")).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts"))), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def make():
@@ -195,7 +199,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     wanted = texts(docs, id_col, text_col).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stored(map_texts(wanted, make, f"doc_id {id_type(docs, id_col)}, hashes array<long>"), "shingles")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+    # a document has few centres, but a centre may have very many documents: its set is sent once for each salt
+    centres = pairs.select("b", "salts", "salt").distinct().join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(centres, ["b", "salts", "salt"])
     shared = F.size(F.array_intersect("x", "y"))
     linked = both.filter(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
     comps = connected_components(linked)
