@@ -26,8 +26,8 @@ from chronolex.llm.common import bounded_sample, col, id_type, map_texts, prepar
 WORD = re.compile(r"[^\W\d_]+")
 SIZES = (5, 4, 3, 2, 1)
 #: Bounds of the fit: labelled rows, words of a language, n-grams of a size.
-SAMPLE_ROWS, WORDS, GRAMS = 12_000, 40_000, 30_000
-MEMORY = 150_000
+SAMPLE_ROWS, WORDS, GRAMS = 12_000, 25_000, 30_000
+MEMORY = 80_000
 
 
 def remainder(id_col: Column, m: int) -> Column:
