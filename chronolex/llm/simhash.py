@@ -26,8 +26,15 @@ from chronolex.llm.components import connected_components
 SEED, BITS, CHUNK = 42, 64, 1 << 15
 
 
+def shingle_bounds(words: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all shingles in the words joined by single spaces."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return starts[: len(words) - shingle + 1], ends[shingle - 1 :]
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit fingerprint."""
+    """Unsigned 64-bit fingerprint. Shingles are cut and hashed in parts, so a very long text needs little more than its words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -37,12 +44,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     h64 = xxhash.xxh64_intdigest
     if len(words) <= shingle:
         return h64(line, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = (np.concatenate(([0], ends[:-1] + 1)))[: len(words) - shingle + 1].tolist()
-    stops = ends[shingle - 1 :].tolist()
+    starts, ends = shingle_bounds(words, shingle)
+    del words
     total = np.zeros(BITS, np.int64)
     for at in range(0, len(starts), CHUNK):
-        h = np.array([h64(line[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], stops[at : at + CHUNK], strict=True)], np.uint64)
+        h = np.array([h64(line[a:b], SEED) for a, b in zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)], np.uint64)
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return sum(1 << k for k in np.nonzero(2 * total > len(starts))[0].tolist())
 
@@ -107,9 +113,8 @@ def shingle_hashes(text: str | None, shingle: int) -> tuple[bytes, set[int]]:
     line, h64 = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
         return line, {h64(line, SEED)} if words else set()
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
-    return line, {h64(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)}
+    starts, ends = shingle_bounds(words, shingle)
+    return line, {h64(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
 
 
 #: Bands and minima in a band: texts of similarity 0.8 meet in a band with a chance of 0.9996, of 0.5 with one of 0.47.
