@@ -12,7 +12,7 @@ from chronolex.llm.common import no_threads
 
 #: Folder of the vocabulary files; a parameter of every operator that tokenizes.
 FOLDER = "/opt/tokenizers"
-MEMORY = 400_000
+MEMORY = 600_000
 
 
 def byte_letters() -> dict[int, str]:
