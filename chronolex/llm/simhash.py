@@ -175,12 +175,96 @@ def _starred(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(stored(centre, "centres"), key).select(F.col("doc_id").alias("a"), "b", "n")
 
 
+#: Rows of a bucket in one share; every two shares of a bucket are compared at once.
+SHARE = 250
+#: Shingles that are counted at once when shares are compared.
+COLUMNS = 4096
+
+
+def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """key, i, j, doc_id and root: the rows of every two shares i and j of the keys whose rows are not all linked yet.
+
+    Keys of two rows are settled by their centre, and of keys that the same rows hold one is enough.
+    """
+    rows = members.join(comps.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    digest = [F.bit_xor(F.xxhash64(F.lit(k), "doc_id")).alias(f"d{k}") for k in range(2)]
+    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *digest).filter("n > 2 and low <> high")
+    found = found.groupBy("n", "d0", "d1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
+    own = rows.join(stored(found, "unsettled"), "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).filter("own <> other or shares = 1")
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "root")
+
+
+def forest(ids: list, roots: list, sets: list[np.ndarray], least: float) -> list[tuple]:
+    """Links (a, b) of similarity `least` or more, of all pairs; as few as connect what they connect across the roots."""
+    number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    if len(number) < 2:
+        return []
+    label = np.array([number[r] for r in roots])
+    sizes = np.array([len(x) for x in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row, often = np.repeat(np.arange(len(ids)), sizes), np.bincount(at) > 1
+    row, at = row[often[at]], (np.cumsum(often) - 1)[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    shared = np.zeros((len(ids), len(ids)))
+    for first in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(at, (first, first + COLUMNS))
+        x = np.zeros((len(ids), at[b - 1] - first + 1), np.float32)
+        x[row[a:b], at[a:b] - first] = 1
+        shared += x @ x.T
+    a, b = np.nonzero(np.triu(shared >= least * (sizes[:, None] + sizes - shared), 1))
+    out = []
+    while len(a):
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        if len(a):
+            out.append((ids[a[0]], ids[b[0]]))
+            label[label == label[b[0]]] = label[a[0]]
+    return out
+
+
+def _more_links(unsettled: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) across the roots of unsettled rows. All pairs of two shares are verified in one task, which returns fewer
+    links than it has rows; no pair is a row of Spark's."""
+    kind = sets.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        def links_of(ids, roots, hashes):
+            found = forest(ids, roots, hashes, least)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], id_arrow) for k in range(2)], names=["a", "b"])
+
+        now, ids, roots, hashes, id_arrow = None, [], [], [], None
+        for batch in batches:
+            id_arrow = batch.column("doc_id").type
+            keys = zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True)
+            ends = batch.column("hashes").offsets.to_numpy()
+            flat = batch.column("hashes").values.to_numpy()
+            for k, (key, i, r) in enumerate(zip(keys, batch.column("doc_id").to_pylist(), batch.column("root").to_pylist(), strict=True)):
+                if key != now:
+                    if ids:
+                        yield links_of(ids, roots, hashes)
+                    now, ids, roots, hashes = key, [], [], []
+                ids.append(i)
+                roots.append(r)
+                hashes.append(flat[ends[k] : ends[k + 1]].copy())
+        if ids:
+            yield links_of(ids, roots, hashes)
+
+    dealt = unsettled.join(sets, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
     """doc_id and group_id, the smallest doc_id that links of Jaccard similarity `least` or more on word shingles reach.
 
     Texts of equal words are collapsed first. Candidates are the fingerprints that meet in ball hashing and, since a pair of
-    similarity 0.8 differs in about ten bits and rarely meets there, texts with a common band of shingle minima. Every
-    candidate is verified on its whole shingle set. Ids must not be null; rows with one id are one document.
+    similarity 0.8 differs in about ten bits and rarely meets there, all pairs of texts with a common band of shingle minima.
+    A bucket's texts are first verified against one centre, which settles a bucket that it links as a whole; in every other
+    bucket all pairs are verified. Every candidate is verified on its whole shingle set. Ids must not be null; rows with one
+    id are one document.
     """
     rows = stored(described(docs, id_col, text_col, shingle), "described")
     classes = stored(rows.groupBy("same").agg(F.min("doc_id").alias("class_id")), "classes")
@@ -190,8 +274,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     balls = links(centres.select("fp"), radius)
     balls = balls.join(centres.select(F.col("fp").alias("a"), F.col("c").alias("ca")), "a").join(centres.select(F.col("fp").alias("b"), F.col("c").alias("cb")), "b")
     by_ball = balls.select(F.col("ca").alias("a"), F.col("cb").alias("b"), F.lit(1).cast("long").alias("n"))
-    by_band = _starred(heads.select("doc_id", F.explode("bands").alias("band")), "band")
-    pairs = by_ball.union(_starred(heads.select("doc_id", "fp"), "fp")).union(by_band).filter("a <> b").groupBy("a", "b").agg(F.max("n").alias("n"))
+    members = heads.select("doc_id", F.explode(F.concat("bands", F.array(F.xxhash64(F.lit("fp"), "fp")))).alias("key"))
+    pairs = by_ball.union(_starred(members, "key")).filter("a <> b").groupBy("a", "b").agg(F.max("n").alias("n"))
     salts = F.ceil(F.col("n") / PAIRS_AT_ONCE).cast("int")
     pairs = stored(pairs.select("a", "b", salts.alias("salts")).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts"))), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -209,7 +293,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(centres, ["b", "salts", "salt"])
     shared = F.size(F.array_intersect("x", "y"))
     linked = both.filter(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    comps = connected_components(linked)
+    comps = stored(connected_components(linked), "first-groups")
+    more = stored(_more_links(_unsettled(members, comps), sets, least), "more-links")
+    if not more.isEmpty():
+        comps = connected_components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     of = classes.join(comps, F.col("class_id") == F.col("node"), "left").select("same", F.coalesce("root", "class_id").alias("group_id"))
     return rows.select("doc_id", "same").join(of, "same").select("doc_id", "group_id")
 

@@ -93,6 +93,51 @@ def test_groups_against_brute_force(spark, sf):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(i for i in sets if u.root(i) == i)
 
 
+def edited_copies(n, words=200, edits=3, seed=5):
+    """One text and n copies of it, each with some of its words replaced by new ones."""
+    rng = random.Random(seed)
+    first = [f"w{k}" for k in range(words)]
+    out = [" ".join(first)]
+    for c in range(n):
+        copy = list(first)
+        for k in rng.sample(range(words), edits):
+            copy[k] = f"new{c}x{k}"
+        out.append(" ".join(copy))
+    rng.shuffle(out)
+    return out
+
+
+def test_edited_copies_of_one_text_are_one_group(spark):
+    """Most copies resemble the original, but few resemble another copy; 1000 make shares of a bucket too."""
+    df = spark.createDataFrame(list(enumerate(edited_copies(1000))), "doc_id long, text string").repartition(4)
+    sets = {r["doc_id"]: simhash.shingle_hashes(r["text"], 5)[1] for r in df.collect()}
+    u = Union(sets)
+    for a, b in combinations(sets, 2):
+        n = len(sets[a] & sets[b])
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            u.join(a, b)
+    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(df).collect()}
+    assert got == {i: u.root(i) for i in sets} and set(got.values()) == {0}
+
+
+def test_forest_finds_all_links():
+    rng = random.Random(4)
+    base = [rng.getrandbits(62) for _ in range(60)]
+    sets = [set(base) - set(rng.sample(base, rng.choice([2, 6, 12, 20]))) | {rng.getrandbits(62) for _ in range(rng.choice([0, 3]))} for _ in range(80)] + [{1}, {1}, {2}]
+    roots = [k - k % 2 for k in range(len(sets))]
+    u, got = Union(range(len(sets))), Union(range(len(sets)))
+    for k, r in enumerate(roots):
+        u.join(k, r), got.join(k, r)
+    for a, b in combinations(range(len(sets)), 2):
+        n = len(sets[a] & sets[b])
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            u.join(a, b)
+    for a, b in simhash.forest(list(range(len(sets))), roots, [simhash.np.array(sorted(x)) for x in sets], 0.8):
+        assert got.root(a) != got.root(b)
+        got.join(a, b)
+    assert [got.root(k) for k in range(len(sets))] == [u.root(k) for k in range(len(sets))]
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = simhash.near_duplicates(odd_docs.filter("doc_id is not null")).collect()
     by = {r["doc_id"]: r for r in rows}
