@@ -52,3 +52,9 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.filter("doc_id in (0, 1, 2)").count() == 0
     unlabelled = odd_docs.withColumn("lang", odd_docs["lang"].substr(9, 1)).filter("lang is null")
     assert {r["lang_pred"] for r in langid.held_out_predictions(unlabelled).collect()} <= {"und"}
+
+
+def test_the_fit_keeps_forty_thousand_words_of_a_language(spark):
+    name = lambda k: "".join(chr(97 + k // 26**e % 26) for e in range(4))
+    docs = spark.createDataFrame([(1, " ".join(map(name, range(41_000))), "en")], "doc_id long, text string, lang string")
+    assert len(langid.fit(docs).words[0]) == 40_000
