@@ -128,6 +128,11 @@ def _block_hits(docs: DataFrame, items: list[tuple[str, str | None]], window: in
 
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (a twentieth of the words or more are hit)."""
+    return _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, window, block_bytes).drop("text_key")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The columns of search and text_key, the digest of the text."""
     own = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").cast("binary").alias("text"))
     items = benchmark.select(col(item_col).cast("string").alias("item"), col(item_text_col).cast("string").alias("text")).filter("item is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -147,14 +152,15 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
         def f(rows):
             spans = rows["spans"] if "spans" in rows else [merged(p for s in x for p in zip(s[::2], s[1::2], strict=True)) for x in rows["all_spans"]]
             hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-            return {"doc_id": rows["doc_id"], "n_words": rows["n_words"], "n_hit": hit, "n_items": list(map(len, rows["items"])), "items_sha256": list(map(digest, rows["items"])), "contaminated": [h > 0 and 20 * h >= n for h, n in zip(hit, rows["n_words"], strict=True)]}
+            return {"doc_id": rows["doc_id"], "text_key": rows["text_key"], "n_words": rows["n_words"], "n_hit": hit, "n_items": list(map(len, rows["items"])), "items_sha256": list(map(digest, rows["items"])), "contaminated": [h > 0 and 20 * h >= n for h, n in zip(hit, rows["n_words"], strict=True)]}
 
         return f
 
-    return map_texts(found, make, f"doc_id {id_type(docs, id_col)}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", size=1000)
+    return map_texts(found, make, f"doc_id {id_type(docs, id_col)}, text_key string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", size=1000)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not contaminated; rows with a null id are judged by id null together."""
-    bad = search(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, col(id_col).eqNullSafe(F.col("__bad_id")), "left_anti")
+    """The rows of docs that are not contaminated; rows with one id, or none, are judged each by its own text."""
+    bad = _judged(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
+    own_key = F.md5(col(text_col).cast("string").cast("binary"))
+    return docs.join(bad, col(id_col).eqNullSafe(F.col("__bad_id")) & (own_key == F.col("__bad_key")), "left_anti")

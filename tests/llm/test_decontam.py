@@ -73,3 +73,9 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert decontam.search(no_docs, bench).count() == 0 and decontam.search(odd_docs, bench.filter("false")).filter("n_hit > 0").count() == 0
     kept = decontam.keep_clean(odd_docs, bench)
     assert kept.columns == odd_docs.columns and kept.filter("doc_id = 4").count() == 0 and kept.count() == odd_docs.count() - 1
+
+
+def test_only_the_contaminated_text_of_an_id_goes(spark):
+    bench = spark.createDataFrame([(1, "some short item")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "some short item"), (None, "clean text here"), (None, None), (2, "Some short item!"), (2, "clean too")], "doc_id long, text string")
+    assert sorted(str(r["text"]) for r in decontam.keep_clean(docs, bench).collect()) == ["None", "clean text here", "clean too"]

@@ -49,3 +49,13 @@ def test_odd_rows(odd_docs, no_docs):
     assert by[0][0]["text"] is None and by[1][0]["text"] == ""
     assert len(by[7]) == 3 and all(r["text"].count("\n") == 7 and r["removed"] == 0 for r in by[7])  # repeated rows of one id
     assert by[8][0]["text"] == "" and by[50][0]["text"] == "" and by[9][0]["text"] == "x\ny"
+
+
+def test_rows_of_one_id_and_different_texts(spark):
+    """Only the text that repeats a window loses it; others under the same or no id keep their lines."""
+    rows = [(i, t) for i in (None, 1) for t in (f"p {i}\nq {i}\nr {i}\nown {i}", f"u {i}\nv {i}\nw {i}\nx {i}", f"a\nb\nc\nend {i}")]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["text"], r["n"]) for r in ld.dedupe_lines(df, removed_col="n").collect() if r["doc_id"])
+    assert got == sorted((False, i, "end 1" if t.startswith("a\n") else t, int(t.startswith("a\n"))) for i, t in rows if i)
+    none = sorted(r["text"] for r in ld.dedupe_lines(df).collect() if r["doc_id"] is None)
+    assert none == sorted([*(t for i, t in rows if i is None), rows[0][1]])
