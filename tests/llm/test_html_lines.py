@@ -56,3 +56,12 @@ def test_odd_rows(spark):
     out = html_lines.extract(df).collect()
     assert len(out) == 4 and sorted(r["n_chars"] for r in out) == [0, 0, 1, 30_000 * 9 + 29_999 * 2]
     assert html_lines.extract(df.filter("false")).count() == 0
+
+
+def test_windows_decide_only_where_no_article_is_marked():
+    page = "<body>{open}<p>Short lead</p><p>" + "A paragraph that is long enough to be a surge all by itself. " * 2 + "</p>{close}<div><a href=a>Link</a></div><div><a href=b>Other</a></div><div><a href=c>Third</a></div><p>Lone line</p></body>"
+    bare = page.replace("{open}", "").replace("{close}", "")
+    wide, narrow = html_lines.main_text(bare), html_lines.main_text(bare, window=1)
+    assert wide.startswith("Short lead\n\nA paragraph") and narrow.startswith("A paragraph") and "Lone" not in wide + narrow and "Link" not in wide
+    marked = page.replace("{open}", "<article>").replace("{close}", "<p><a href=d>Inner link</a></p></article>")
+    assert html_lines.main_text(marked) == html_lines.main_text(marked, window=1) == wide + "\n\nInner link"
