@@ -33,7 +33,7 @@ def token_changes(docs: DataFrame) -> dict[str, DataFrame]:
     remains to the word vocabulary (a delete of the old version's count and an insert of the new one's)."""
     all_docs = stored(token_rollup.token_counts(docs, keep=("source", "lang")), "token-counts")
     least = stored(all_docs.groupBy("text_key").agg(F.min("doc_id").alias("least_id")), "token-heads")  # written, so that Spark can split a text with very many copies
-    marked = stored(all_docs.join(least, "text_key").select("source", "lang", "n_byte", "n_word", (F.col("doc_id") != F.col("least_id")).alias("copy")), "token-copies")
+    marked = stored(all_docs.join(least, "text_key").select("source", "lang", "n_byte", "n_word", (~F.col("doc_id").eqNullSafe(F.col("least_id"))).alias("copy")), "token-copies")
     row = lambda df, op, version, n: df.select("source", "lang", F.lit(version).alias("tokenizer"), F.lit(op).alias("op"), F.col(n).alias("n_tokens"), F.lit(None).cast("long").alias("old_tokens"))
     kept = marked.filter("not copy")
     revised = kept.select("source", "lang", F.lit("byte_bpe_50k+end").alias("tokenizer"), F.lit("revise").alias("op"), (F.col("n_byte") + 1).alias("n_tokens"), F.col("n_byte").alias("old_tokens"))

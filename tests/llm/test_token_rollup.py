@@ -66,3 +66,9 @@ def test_odd_rows(odd_docs, no_docs):
     assert {(r["n_byte"], r["n_word"]) for r in rows if r["doc_id"] in (0, 1)} == {(0, 0)}
     summed = token_rollup.signed(odd_docs.withColumn("tokenizer", F.lit("v")), F.lit("insert"), F.col("n_chars"), F.lit(None)).collect()
     assert sum(r["docs"] for r in summed) == odd_docs.count()
+
+
+def test_rows_without_an_id_are_kept_or_copies(spark):
+    docs = spark.createDataFrame([(None, "no id", "s", "en"), (1, "twice", "s", "en"), (None, "twice", "s", "en")], "doc_id long, text string, source string, lang string")
+    n = {k: v.filter("op <> 'revise'").count() for k, v in registry.token_changes(docs).items()}
+    assert n == {"load": 3, "copies": 1, "word": 2, "end": 2}
