@@ -1,8 +1,13 @@
 """The corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination, packing.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir), works on all that its predecessor kept and returns
-a DataFrame. All but the last return the columns of documents. run() writes each result to the shared folder and reads it
-again as the next stage's docs.
+a DataFrame. All but the last return the columns of documents, whatever their names. run() writes each result to the shared
+folder and reads it again as the next stage's docs.
+
+Defined results: null and empty texts and those without letters go with the first stage. Rows with one id and one text are
+copies of one document to line dedup and one document to near-dedup, which keeps or drops all of them; rows with one id and
+different texts are cut and judged each by its own text. A row without an id is no copy of another to near-dedup and stays
+there. An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth are in windows of the benchmark."""
+    """Documents that hold no whole window of the benchmark, and in which shorter items make up less than a twentieth."""
     return decontam.keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
