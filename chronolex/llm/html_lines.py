@@ -2,12 +2,18 @@
 
 Markup is stripped to lines: one line for each block of the page, with character references decoded and white space made
 single. Lines inside boilerplate containers (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts,
-styles) weigh nothing, nor do lines outside the article where a page marks one; elsewhere a line weighs its length without
-its link texts. Weights are summed over a sliding window of lines. A surge is the line at which the sum rises above the
-threshold, a dive the line after which no window reaches it; the weighing lines between a surge and its dive are the text.
-
-Defined results: a null or empty page, or one without text, has an empty text and 0 characters. Unclosed and stray tags,
-comments and quotes are read to the end. Rows are independent.
+styles) go with the markup, and so do lines outside the article where a page marks one. A line that is left weighs its
+letters and digits outside links; headings weigh with their links. Weights are summed over a sliding window of lines. The
+text surges where the sums leave zero and dives where a whole window weighs nothing: every line of such a window is dropped,
+and all lines between a surge and the next dive are the text, light ones included. So lists of links go, wherever they are,
+and no block and no page goes for being short.
+
+Beyond the first and the last line of a page there are lines without weight, so links at a page's edges go; the edges that
+markup gives to an article have nothing beyond them. An article in which nothing weighs is kept whole.
+
+Defined results: a null or empty page, or one without text, has an empty text and 0 characters. Unclosed comments, scripts
+and styles are read to the end of the page, as browsers do; other unclosed and stray tags swallow nothing. Rows are
+independent; ties cannot arise.
 """
 
 from __future__ import annotations
@@ -20,7 +26,13 @@ from pyspark.sql import DataFrame
 from chronolex.llm.common import col, id_type, map_texts
 
 WINDOW = 3
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|template|noscript|iframe|svg|select|title|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
+#: Elements whose content is no text of the page; those in the first list last to the page's end where they are not closed.
+RAW = ("script", "style")
+OPAQUE = {t: re.compile(f"</{t}\\s*>", re.I) for t in (*RAW, "textarea", "template", "noscript", "iframe", "svg", "select", "title", "button")}
+HREF = re.compile(r"(?:^|\s)href\b", re.I)
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+NO_WORD = re.compile(r"[\W_]+")
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("address article aside blockquote body center details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 head header html main menu nav ol pre section table ul p li td th dd dt span figcaption".split())
 DROPPED = frozenset("nav footer aside form head menu dialog header".split())
@@ -60,41 +72,51 @@ def begins_article(tag: str, attributes: str) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
-    """Text, in a boilerplate container, in the article, length of link texts: for each line that has text."""
+    """Text, in a boilerplate container, in the article, weight: for each line that has text."""
     out: list[tuple[str, bool, bool, int]] = []
     stack: list[tuple[str, bool, bool]] = [("", False, False)]
     parts: list[str] = []
-    links = 0
+    free: list[str] = []
     in_link = False
+    never_closed: set[str] = set()
 
     def end_line() -> None:
-        nonlocal parts, links
+        nonlocal parts, free, in_link
+        in_link = False
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((text, stack[-1][1], stack[-1][2], links))
-            parts, links = [], 0
+                weighs = text if len(free) == len(parts) else entities.unescape("".join(free))
+                out.append((text, stack[-1][1], stack[-1][2], len(NO_WORD.sub("", weighs))))
+            parts, free = [], []
 
     def add(text: str) -> None:
-        nonlocal links
         if text:
             parts.append(text)
-            if in_link:
-                links += len(text)
+            if not in_link:
+                free.append(text)
 
     at = 0
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
-        slash, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in OPAQUE and not slash and tag not in never_closed:
+            if end := OPAQUE[tag].search(page, at):
+                at = end.end()
+                continue
+            if tag in RAW:
+                at = len(page)
+                break
+            never_closed.add(tag)
         if tag == "br":
             add(" ")
             continue
         if tag == "a":
-            in_link = not slash
+            in_link = not slash and stack[-1][0] not in HEADINGS and HREF.search(attributes) is not None
         if tag not in BLOCKS and tag != "span":
             continue
         if tag in BLOCKS:
@@ -111,6 +133,9 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
                         break
             continue
         if tag in CONTAINERS:
+            if tag in ("body", "article", "main"):
+                while any(name == "head" for name, _, _ in stack):
+                    stack.pop()
             _, skip, inside = stack[-1]
             if tag in BLOCKS:
                 while stack[-1][0] in ("p", "span") or tag in ("li", "dd", "dt", "td", "th") and stack[-1][0] in ("li", "dd", "dt", "td", "th"):
@@ -127,25 +152,34 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, threshold: int = 1, bare_threshold: int = 60) -> str:
-    """The text between surges and dives; the higher threshold is for pages that mark no article."""
-    lines = lines_of(page) if page else []
-    marked = any(inside and not skip for _, skip, inside, _ in lines)
+def between(weights: list[int], edges: bool, window: int = WINDOW) -> list[bool]:
+    """For each line whether it is between a surge and a dive: in no window of lines without weight.
+
+    edges says that lines without weight lie beyond the first and the last line.
+    """
+    beyond = window - 1 if edges else 0
+    w = [0] * beyond + weights + [0] * beyond
+    window = min(window, len(w))
+    out = [True] * len(w)
+    total = sum(w[:window])
+    for k in range(len(w) - window + 1):
+        if k:
+            total += w[k + window - 1] - w[k - 1]
+        if not total:
+            out[k : k + window] = [False] * window
+    return out[beyond : beyond + len(weights)]
+
+
+def main_text(page: str | None, window: int = WINDOW) -> str:
+    """The lines between surges and dives."""
+    lines = [x for x in lines_of(page) if not x[1]] if page else []
+    marked = any(inside for _, _, inside, _ in lines)
     if marked:
-        weights = [0 if skip or not inside else len(t) for t, skip, inside, _ in lines]
-    else:
-        threshold = bare_threshold
-        weights = [0 if skip else max(0, len(t) - links) for t, skip, _, links in lines]
-    sums = [sum(weights[k : k + window]) for k in range(len(weights))]
-    kept, inside_run = [], False
-    for k, weight in enumerate(weights):
-        if not inside_run and weight and sums[k] >= threshold:
-            inside_run = True  # surge
-        if inside_run and not weight and sums[k] < threshold:
-            inside_run = False  # dive
-        if inside_run and weight:
-            kept.append(lines[k][0])
-    return "\n\n".join(kept)
+        lines = [x for x in lines if x[2]]
+    weights = [n for *_, n in lines]
+    if marked and not any(weights):
+        weights = [len(t) for t, *_ in lines]
+    return "\n\n".join(t for (t, *_), kept in zip(lines, between(weights, not marked, window), strict=True) if kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
