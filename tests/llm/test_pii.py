@@ -53,6 +53,30 @@ def test_known_cases():
     assert pii.redact("to bob@example.org now") == "to [email] now" and pii.redact(None) is None
 
 
+def secrets(text):
+    return [text[a:b] for a, b in pii.find(text)["secret"]]
+
+
+def test_secrets():
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    for text in (f'token = "{key}" then', f"API_KEY={key}", f"x-api-key: {key}", f"client_secret := '{key}'", f'"access_token": "{key}"', f"Authorization: Bearer {key}", f"bearer {key}."):
+        assert secrets(text) == [key], text
+    assert secrets("password: hunter22, next") == ["hunter22"] and secrets("AKIA" + "Q7" * 8 + " x") == ["AKIA" + "Q7" * 8]
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nMIIE+/=\n-----END RSA PRIVATE KEY-----"
+    assert secrets(f"a {pem} b {pem} c") == [pem, pem] and secrets("-----BEGIN PRIVATE KEY-----" * 20_000) == []
+    for text in ("the token = something_of_the_kind", "tokens are counted: 12345678901234567890", "secret: aaaaaaaaaaaaaaaaaaaaaaa1a1", "password: as you like", "a key is a key", "token", "token = ", "MAKIA" + "Q7" * 8, "keyed tokenizer_version_2024: abcdefghijklmnopqrst"):
+        assert not secrets(text), text
+    assert pii.redact(f'token = "{key}"') == 'token = "[secret]"'
+
+
+def test_planted_secrets_of_the_tables(spark, sf):
+    rows = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = {r["doc_id"]: r for r in registry.op1_pii(spark, sf).collect()}
+    for i, t in rows.items():
+        assert out[i]["n_secret"] == len(re.findall(r"token = \"[0-9a-f]{40}\"", t))
+        assert out[i]["n_spans"] == len([x for x in out[i]["spans"].split(",") if x])
+
+
 def test_query_covers_every_document(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = registry.op1_pii(spark, sf).collect()
