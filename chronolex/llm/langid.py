@@ -2,7 +2,8 @@
 
 A word that was seen in training adds its log frequency in each language. An unseen word is looked up by its character
 n-grams (with word ends marked), the longest size first; the first size of which any n-gram is known adds the mean of those.
-The model is fitted on a bounded sample of labelled rows; predictions read the text only, and the whole of it.
+The model is fitted on a bounded sample of labelled rows, of which it keeps every word and every n-gram; predictions read the
+text only, and the whole of it.
 
 Defined results: `und` with score 0 for a null text, a text without letters, or if nothing was learned. A text of which
 nothing is known gets the most frequent language. Ties go to the language that sorts first. Rows without a label or an id
@@ -18,15 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronolex.llm.common import bounded_sample, col, id_type, map_texts, prepare
 
 WORD = re.compile(r"[^\W\d_]+")
 SIZES = (5, 4, 3, 2, 1)
-#: Bounds of the fit: labelled rows, words of a language, n-grams of a size.
-SAMPLE_ROWS, WORDS, GRAMS = 12_000, 40_000, 30_000
+#: Bound of the fit: labelled rows. They bound the words and n-grams that are learned.
+SAMPLE_ROWS = 6000
+#: Unseen words that a predictor remembers; no result depends on it.
 MEMORY = 80_000
 
 
@@ -40,7 +41,7 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    def __init__(self, counts: dict[str, dict[str, int]], docs: dict[str, int], n_grams: int = GRAMS):
+    def __init__(self, counts: dict[str, dict[str, int]], docs: dict[str, int]):
         """counts: word counts by language; docs: rows by language."""
         self.langs = sorted(counts)
         at = {lang: k for k, lang in enumerate(self.langs)}
@@ -58,8 +59,7 @@ class Model:
             for w, v in table.items():
                 for g in grams(w, size):
                     found[g] += v
-            top = sorted(found, key=lambda g: (-found[g].sum(), g))[:n_grams]
-            self.grams[size] = self._logs({g: found[g] for g in top})
+            self.grams[size] = self._logs(found)
 
     @staticmethod
     def _logs(table: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
@@ -110,8 +110,8 @@ class Model:
         return predict
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, n_words: int = WORDS, n_grams: int = GRAMS) -> Model:
-    """Learn from about sample_rows of the labelled rows given; of each language the n_words most frequent words are kept."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Learn every word of about sample_rows of the labelled rows given."""
     labelled = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"), col(lang_col).cast("string").alias("lang")).filter("lang is not null and doc_id is not null")
     some = bounded_sample(labelled, F.col("doc_id").cast("string"), sample_rows)
 
@@ -129,16 +129,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return f
 
     sums = map_texts(some.select("lang", "text"), make, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    ranked = sums.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.col("word").isNotNull(), F.desc("n"), "word"))).filter(F.col("k") <= n_words + 1)
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     rows: dict[str, int] = {}
-    for r in ranked.select("lang", "word", "n").toLocalIterator():
+    for r in sums.toLocalIterator():
         if r["word"] is None:
             rows[r["lang"]] = r["n"]
             counts[r["lang"]] = counts[r["lang"]]
         else:
             counts[r["lang"]][r["word"]] = r["n"]
-    return Model({k: dict(sorted(v.items())) for k, v in sorted(counts.items())}, rows, n_grams)
+    return Model({k: dict(sorted(v.items())) for k, v in sorted(counts.items())}, rows)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,10 +163,10 @@ def held_out_predictions(docs: DataFrame, folds: int = 5) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), folds) == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:
     """The rows of docs whose language is identified with at least this score; all columns as they were."""
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(remainder(F.col("doc_id"), 5) != 0)))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(remainder(col(id_col), folds) != 0), id_col, text_col, lang_col))
 
     @F.pandas_udf("boolean")
     def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -175,4 +174,4 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
         for b in batches:
             yield pd.Series([lang != "und" and score >= least_score for lang, score in map(one, b)], dtype=bool)
 
-    return docs.filter(good(F.col("text").cast("string")))
+    return docs.filter(good(col(text_col).cast("string")))
