@@ -24,8 +24,10 @@ from chronolex.llm.langid import remainder
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, PREFIXES = 1 << 20, (3, 4, 5, 6)
-#: Bounds of the fit: labelled rows, buckets, factors.
-SAMPLE_ROWS, FEATURES, FACTORS = 8000, 1536, 6
+#: Bound of the fit: labelled rows. They bound the buckets that take part.
+SAMPLE_ROWS, FACTORS = 8000, 6
+#: A bucket takes part if it is in so many labelled rows and tells the labels apart by so much (chi-square).
+LEAST_ROWS, LEAST_CHI2 = 5, 20.0
 MEMORY = 300_000
 
 
@@ -75,7 +77,7 @@ class Machine:
         return score
 
 
-def train(rows: list[tuple[int, list[int]]], n_features: int = FEATURES, factors: int = FACTORS, steps: int = 200, l2: float = 2e-4, l2_pairs: float = 4e-3, rate: float = 0.05, least_chi2: float = 20.0, pairs: bool = True) -> Machine:
+def train(rows: list[tuple[int, list[int]]], factors: int = FACTORS, steps: int = 200, l2: float = 2e-4, l2_pairs: float = 4e-3, rate: float = 0.05, least_chi2: float = LEAST_CHI2, least_rows: int = LEAST_ROWS, pairs: bool = True) -> Machine:
     """Fit on (label, buckets) rows, in a fixed order and from a fixed seed. pairs=False leaves out the interactions."""
     y = np.array([r[0] for r in rows], np.float64)
     n, n1 = len(y), float(y.sum())
@@ -93,8 +95,8 @@ def train(rows: list[tuple[int, list[int]]], n_features: int = FEATURES, factors
         d = h * (n - h) * n1 * (n - n1)
         return n * (a * (n - n1) - (h - a) * n1) ** 2 / d if d else 0.0
 
-    scored = sorted(((-chi2(k), k) for k, h in hits.items() if h >= 5))
-    chosen = [k for c, k in scored[:n_features] if -c >= least_chi2]
+    scored = sorted(((-chi2(k), k) for k, h in hits.items() if h >= least_rows))
+    chosen = [k for c, k in scored if -c >= least_chi2]
     of = {k: i for i, k in enumerate(chosen)}
     x = np.zeros((n, len(of)), np.float32)
     for r, (_, b) in enumerate(rows):

@@ -45,3 +45,16 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows = toxicity.held_out_scores(odd_docs, labels).collect()
     assert len(rows) == odd_docs.count() and len({r["score"] for r in rows if r["doc_id"] in (0, 1, 2)}) == 1
     assert toxicity.held_out_scores(no_docs, labels.filter("false")).count() == 0
+
+
+def test_scores_against_an_explicit_sum_over_pairs(spark, sf, monkeypatch):
+    monkeypatch.setattr(toxicity, "MEMORY", 40)  # forgets all the time
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()][:60] + ["", None]
+    rng = np.random.default_rng(3)
+    found = sorted(set().union(*map(toxicity.terms, texts[:20])))
+    machine = toxicity.Machine({b: k for k, b in enumerate(found)}, -0.3, rng.normal(0, 0.1, len(found)), rng.normal(0, 0.02, (len(found), 4)))
+    one = machine.scorer()
+    for t in texts:
+        here = [machine.feature_of[b] for b in toxicity.terms(t) if b in machine.feature_of]
+        y = machine.w0 + sum(machine.w[i] for i in here) + sum(float(machine.v[i] @ machine.v[j]) for k, i in enumerate(here) for j in here[k + 1 :])
+        assert abs(one(t) - 1 / (1 + np.exp(-y))) < 1e-9
