@@ -23,8 +23,13 @@ def col(name: str) -> Column:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship this package to the Python workers and bound Arrow batches. Does nothing the second time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Ship this package to the Python workers, once, and bound the session's Arrow batches, unless they are smaller already.
+
+    Spark has no such bound for one query: it reads the session's when it plans.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, ARROW_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_chronolex_shipped", False):
         return
@@ -38,21 +43,35 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset a local master gets a
+    temporary folder, and any other an error."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if set_to:
         return set_to.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(sc, "_chronolex_dir", None):
         sc._chronolex_dir = "file://" + tempfile.mkdtemp(prefix="chronolex-shared-")
         sc.setCheckpointDir(sc._chronolex_dir)
     return sc._chronolex_dir
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/chronolex-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediates, once no result that reads them is wanted any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolex.llm import decontam, html_lines, langid, line_dedup, media_mpeg, packing, pii, simhash, token_rollup, toxicity
-from chronolex.llm.common import read, shared_dir, stored
+from chronolex.llm.common import read, stored, work_dir
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,25 +29,29 @@ def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_changes(docs: DataFrame) -> dict[str, DataFrame]:
-    """Three batches over all documents: loads of the byte vocabulary's counts, deletes of later copies, and a move of what
-    remains to the word vocabulary (a delete of the old version's count and an insert of the new one's)."""
+    """Batches over all documents: loads of the byte vocabulary's counts, deletes of later copies, what remains under a
+    version `current` with the byte vocabulary's counts, the same counts with the word vocabulary as a version of its own, and
+    a revision of `current` to the word vocabulary."""
     all_docs = stored(token_rollup.token_counts(docs, keep=("source", "lang")), "token-counts")
     least = stored(all_docs.groupBy("text_key").agg(F.min("doc_id").alias("least_id")), "token-heads")  # written, so that Spark can split a text with very many copies
     marked = stored(all_docs.join(least, "text_key").select("source", "lang", "n_byte", "n_word", (~F.col("doc_id").eqNullSafe(F.col("least_id"))).alias("copy")), "token-copies")
-    row = lambda df, op, version, n: df.select("source", "lang", F.lit(version).alias("tokenizer"), F.lit(op).alias("op"), F.col(n).alias("n_tokens"), F.lit(None).cast("long").alias("old_tokens"))
     kept = marked.filter("not copy")
-    revised = kept.select("source", "lang", F.lit("byte_bpe_50k+end").alias("tokenizer"), F.lit("revise").alias("op"), (F.col("n_byte") + 1).alias("n_tokens"), F.col("n_byte").alias("old_tokens"))
+
+    def rows(df: DataFrame, op: str, version: str, n: str, old: F.Column = F.lit(None).cast("long")) -> DataFrame:
+        return df.select("source", "lang", F.lit(version).alias("tokenizer"), F.lit(op).alias("op"), F.col(n).alias("n_tokens"), old.alias("old_tokens"))
+
     return {
-        "load": row(marked, "insert", "byte_bpe_50k", "n_byte"),
-        "copies": row(marked.filter("copy"), "delete", "byte_bpe_50k", "n_byte"),
-        "word": row(kept, "insert", "word_bpe_49k", "n_word"),
-        "end": row(kept, "insert", "byte_bpe_50k+end", "n_byte").unionByName(revised),
+        "load": rows(marked, "insert", "byte_bpe_50k", "n_byte"),
+        "copies": rows(marked.filter("copy"), "delete", "byte_bpe_50k", "n_byte"),
+        "current": rows(kept, "insert", "current", "n_byte"),
+        "word": rows(kept, "insert", "word_bpe_49k", "n_word"),
+        "retokenised": rows(kept, "revise", "current", "n_word", F.col("n_byte")),
     }
 
 
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after all batches; one of them is sent twice, and the first are folded into a snapshot."""
-    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup = token_rollup.Rollup(spark, f"{work_dir(spark)}/rollup-{uuid.uuid4().hex}")
     batches = token_changes(read(spark, sf_dir, "documents"))
     for k, (name, changes) in enumerate(batches.items()):
         rollup.commit(name, changes)

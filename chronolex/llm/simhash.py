@@ -7,7 +7,9 @@ by at most `radius` bits, so linking each to the next one in its ball loses no c
 65 members at most, whatever the number of documents.
 
 Defined results: null, empty and word-less texts have fingerprint zero and are linked like others. Copies are collapsed to
-one fingerprint before any variant is made. Repeated ids are one document. An empty table gives an empty result.
+one fingerprint before any variant is made. Rows with one id are one document. A null id is no id: such rows are linked like
+others and link others, but give no component its name, and a component of such rows only has a null one. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations

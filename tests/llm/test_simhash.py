@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import xxhash
@@ -148,3 +149,32 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.filter(F.col("doc_id").isNotNull()).collect()) == [(False, k) for k in (0, 3, 4, 5, 7, 7, 7, 10)]  # 9 is 7 with two words more
     assert kept.filter("doc_id is null").count() == 2
+
+
+def test_rows_without_an_id_link_but_name_no_component(spark, monkeypatch):
+    far = 1 << 50 | 1 << 20 | 1 << 10
+    rows = spark.createDataFrame([(7, 0), (None, 1), (3, 7), (None, far), (None, far)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: rows)
+    got = sorted((str(r["doc_id"]), r["fp"], r["component_id"]) for r in simhash.near_duplicates(rows).collect())
+    assert got == [("3", 7, 3), ("7", 0, 3), ("None", 1, 3), ("None", far, None), ("None", far, None)]
+
+
+def test_groups_against_an_exact_join_of_a_larger_table(spark):
+    """All pairs that share a shingle, counted shingle by shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r["doc_id"]: simhash.shingle_hashes(r["text"], 5)[1] for r in docs.collect()}
+    holders = {}
+    for i, s in sorted(sets.items()):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    shared = Counter(p for of in holders.values() if len(of) > 1 for p in combinations(of, 2))
+    u = Union(sets)
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            u.join(a, b)
+    assert {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(docs).collect()} == {i: u.root(i) for i in sets}
+
+
+def test_no_edges_have_no_components(spark):
+    assert connected_components(spark.createDataFrame([(1, 1), (None, None)], "a long, b long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
