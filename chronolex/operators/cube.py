@@ -47,15 +47,19 @@ class Cube:
         return self.df.groupBy(*self.row).agg(F.sum("count").alias("mass"))
 
     def above(self, cutoff: int) -> Cube:
-        """Keys whose counts in a bin sum to more than the cutoff. A group-by and a join: a frequent key's rows stay spread."""
+        """Keys whose counts in a bin sum to more than the cutoff. A group-by and a join: a frequent key's rows stay spread.
+
+        The join is an inner one with distinct keys: a semi join would be pushed below the cube's own sums, and raw rows would
+        be shuffled. So the cube's shuffle is there once and read by both sides.
+        """
         if not cutoff:
             return self
         kept = self.mass().filter(F.col("mass") > cutoff).drop("mass")
-        return Cube(self.df.join(kept, self.row, "left_semi"), self.keys)
+        return Cube(self.df.join(kept, self.row).select(*self.df.columns), self.keys)
 
     def restricted(self, words: DataFrame, on: Sequence[str]) -> Cube:
-        """Cells whose columns `on` are in a word list."""
-        return Cube(self.df.join(words.select(*on).distinct(), list(on), "left_semi"), self.keys)
+        """Cells whose columns `on` are in a word list. Below the cube's sums or above them, the list is joined early if short."""
+        return Cube(self.df.join(words.select(*on).distinct(), list(on)).select(*self.df.columns), self.keys)
 
     def without_tags(self) -> Cube:
         """Keys without their part-of-speech suffix; only a head keeps _ADJ."""

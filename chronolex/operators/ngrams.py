@@ -217,8 +217,9 @@ def document_slots(tokens: DataFrame, keep: list[str], of: Callable[[list[str]],
     """
     texts = F.transform(col, lambda t: F.concat_ws("_", t["lemma"], t["pos"])).alias("__texts")
     codes = F.transform(col, lambda t: F.when(t["pos"].isin(*NOUNS), 1).when(t["pos"] == "ADJ", 2).otherwise(0)).alias("__codes")
-    coded = tokens.filter(F.size(col) >= size).select(*keep, texts, codes)
-    placed = coded.select(*keep, "__texts", "__codes", F.explode(F.sequence(F.lit(0), F.size("__codes") - size)).alias("__p"))
+    coded = tokens.select(*keep, texts, codes)
+    last = F.size("__codes") - size  # a filter on the size would be pushed down, and the row be tokenised for it once more
+    placed = coded.select(*keep, "__texts", "__codes", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("__p"))
     number = F.lit(0)
     for k in range(size):
         number = number * 3 + F.col("__codes")[F.col("__p") + k]
@@ -229,6 +230,25 @@ def document_slots(tokens: DataFrame, keep: list[str], of: Callable[[list[str]],
     return rows.select(*keep, *role, *(F.col("__texts")[F.col("__p") + F.col(f"__s.{f}")].alias(n) for n, f in names.items() if n != "role"))
 
 
+def neighbour_slots(tokens: DataFrame, keep: list[str], size: int = 5, reach: int = 3, col: str = "tokens") -> DataFrame:
+    """(word, context, count) for each noun, proper noun or adjective of a row and each token near it.
+
+    The same sums as document_slots with words_slots_of, which has a row for every window that holds both tokens: here a pair
+    is one row, and its count is the number of those windows.
+    """
+    texts = F.transform(col, lambda t: F.concat_ws("_", t["lemma"], t["pos"])).alias("__texts")
+    named = F.transform(col, lambda t: t["pos"].isin(*NOUNS) | (t["pos"] == "ADJ"))
+    rows = tokens.select(*keep, texts, named.alias("__named"))
+    at = F.when(F.size("__named") >= size, F.filter(F.sequence(F.lit(0), F.size("__named") - 1), lambda k: F.get("__named", k)))
+    rows = rows.select(*keep, "__texts", F.explode(at).alias("__p"))
+    steps = F.array(*(F.lit(d) for d in range(-reach, reach + 1) if d))
+    rows = rows.select(*keep, "__texts", "__p", F.explode(steps).alias("__d")).select(*keep, "__texts", "__p", (F.col("__p") + F.col("__d")).alias("__q"))
+    low, high, last = F.least("__p", "__q"), F.greatest("__p", "__q"), F.size("__texts") - size
+    count = F.least(low, last) - F.greatest(high - (size - 1), F.lit(0)) + 1
+    rows = rows.filter((F.col("__q") >= 0) & (F.col("__q") < F.size("__texts")) & (count > 0))
+    return rows.select(*keep, F.col("__texts")[F.col("__p")].alias("word"), F.col("__texts")[F.col("__q")].alias("context"), count.cast("long").alias("count"))
+
+
 def aware_slots_of(tags: list[str]) -> list[dict]:
     return aware_of(class_of(tags))
 

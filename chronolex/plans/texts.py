@@ -162,7 +162,8 @@ WORD_SQL = " UNION ALL ".join(f"SELECT {_s(k)} AS word, {_s(q)} AS context, time
 @query(with_sql(WORDS, TOKENS, WIN5) + _cut_sql(WORD_SQL, "word", 200))
 def cube_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nouns and adjectives with their windows, above a cutoff of 200."""
-    return ngrams.cube_of(_slots(spark, sf_dir, ngrams.words_slots_of, ("word",)), ("word",)).above(200).df
+    slots = ngrams.neighbour_slots(ngrams.annotate(_docs(spark, sf_dir), ["time"]), ["time"])
+    return ngrams.cube_of(slots, ("word",), F.col("count")).above(200).df
 
 
 def _linked_sql(link: tuple[str, ...], head_first: bool) -> str:

@@ -94,3 +94,23 @@ def test_documents_yield_the_slots_of_their_windows(spark):
     assert rows(ngrams.document_slots(df, ["time"], ngrams.fours_of, pair, size=4)) == rows(ngrams.four_slots(ngrams.windows(df, ["time"], 4), ["time"])) != []
     compounds = ngrams.aware_slots(w, ["time"]).filter("role = 'compound'").drop("role")
     assert rows(ngrams.document_slots(df, ["time"], lambda t: [s for s in ngrams.aware_slots_of(t) if s["r"] == "compound"], pair)) == rows(compounds) != []
+
+
+def test_pairs_with_counts_equal_the_slots_of_all_windows(spark):
+    words = [("a", "NOUN"), ("b", "NOUN"), ("c", "VERB"), ("d", "ADJ"), ("e", "NOUN"), ("a", "NOUN"), ("g", "PROPN"), ("h", "NOUN")]
+    rows = [(1, words * 3), (2, words[:4]), (3, words[2:]), (4, []), (5, None), (6, words[:5]), (7, words[:1])]
+    df = spark.createDataFrame(rows, "time int, tokens array<struct<lemma:string,pos:string>>")
+    cube = lambda slots, *n: sorted(map(tuple, ngrams.cube_of(slots, ("word",), *n).df.collect()))
+    assert cube(ngrams.neighbour_slots(df, ["time"]), F.col("count")) == cube(ngrams.document_slots(df, ["time"], ngrams.words_slots_of, {"word": "m", "context": "c"})) != []
+
+
+def test_a_cube_with_a_cutoff_reads_documents_once(spark, sf):
+    """One scan in the plan as executed, and partial sums below every shuffle of rows."""
+    from chronolex.plans import registry
+
+    for name in ("cube_words", "cube_phrases"):
+        df = registry.QUERIES[name](spark, sf)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+        assert sum("Scan parquet" in x for x in plan) == 1, name
+        assert all("HashAggregate" in "".join(plan[k + 1 : k + 3]) for k, x in enumerate(plan) if "+- Exchange hashpartitioning" in x), name
