@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -23,23 +24,34 @@ def pick(col: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), col))
 
 
-def negatives(pairs: DataFrame, words: DataFrame, seen: DataFrame, replace: str, seeds: int = 10, tries: int = 8) -> DataFrame:
+def draw(text: Column, n: Column) -> Column:
+    """A repeatable number from 0 to n - 1."""
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), n)
+
+
+def negatives(pairs: DataFrame, words: DataFrame, seen: DataFrame, replace: str, seeds: int = 10) -> DataFrame:
     """For each pair and seed the pair with `replace` (head or modifier) exchanged for a random word, such that it is unseen.
 
-    words: (slot, word) with slots 0..n-1. Each try draws a slot by a hash; the first unseen draw is kept, so rows are joined
-    on slots and pairs, never crossed with all words. A pair of which all tries are seen has no row for that seed.
+    words: (slot, word) with slots 0..n-1. Of the words that the kept side was never seen with, in the order of their slots,
+    one is drawn by a hash, each with the same chance. A pair has no row only if its kept side was seen with every word.
+    The drawn word's slot is the drawn number plus the slots before it that are taken: taken slots and drawn numbers are
+    sorted together for each kept word, so nothing is crossed with the words, and no list of them is gathered.
     """
     keep = "modifier" if replace == "head" else "head"
     n = words.agg(F.count(F.lit(1)).alias("n_words"))
-    grid = pairs.select("modifier", "head", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed")).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    text = F.concat_ws("|", "modifier", "head", F.col("seed").cast("string"), F.col("attempt").cast("string"))
-    slot = F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.col("n_words"))
-    drawn = grid.crossJoin(F.broadcast(n)).withColumn("slot", slot).join(words.select("slot", F.col("word").alias("other")), "slot")
-    made = drawn.select("modifier", "head", "seed", "attempt", F.col(keep).alias("k"), "other")
-    taken = seen.select(F.col(keep).alias("k"), F.col(replace).alias("other")).distinct()
-    free = made.join(taken, ["k", "other"], "left_anti")
-    first = free.groupBy("modifier", "head", "seed").agg(F.min_by("other", "attempt").alias(f"new_{replace}"))
-    return first
+    taken = seen.select(F.col(keep).alias("k"), F.col(replace).alias("word")).distinct().join(words, "word").select("k", "slot")
+    own = W.partitionBy("k").orderBy("slot")
+    gaps = taken.select("k", (F.col("slot") - F.row_number().over(own) + 1).alias("at"))  # free slots before a taken one
+    used = taken.groupBy("k").agg(F.count(F.lit(1)).alias("n_taken"))
+    rows = pairs.select("modifier", "head", F.col(keep).alias("k")).distinct().join(used, "k", "left").crossJoin(F.broadcast(n))
+    rows = rows.withColumn("n_free", F.col("n_words") - F.coalesce("n_taken", F.lit(0))).filter("n_free > 0")
+    rows = rows.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    text = F.concat_ws("|", "modifier", "head", F.col("seed").cast("string"))
+    drawn = rows.select("k", draw(text, F.col("n_free")).alias("at"), "modifier", "head", "seed")
+    both = gaps.withColumn("gap", F.lit(1)).unionByName(drawn.withColumn("gap", F.lit(0)), allowMissingColumns=True)
+    before = F.sum("gap").over(W.partitionBy("k").orderBy("at", F.desc("gap")).rowsBetween(W.unboundedPreceding, 0))
+    placed = both.withColumn("slot", F.col("at") + before).filter("gap = 0").select("modifier", "head", "seed", "slot")
+    return placed.join(words.select("slot", F.col("word").alias(f"new_{replace}")), "slot").drop("slot")
 
 
 def reversed_pairs(pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronolex.operators.order import numbered, running
+
 
 def top_k(counts: DataFrame, word: str, count: str, k: int) -> DataFrame:
     """The k most frequent words over all rows; ties go to the word that sorts first. Partial sums, then bounded heaps."""
@@ -52,21 +54,16 @@ def edges_bin(df: DataFrame, value: str, parts: int = 10, name: str = "bin") ->
 
 
 def rank_bins(df: DataFrame, value: str, tie: list[str], sizes: tuple[int, ...]) -> DataFrame:
-    """The smallest of the sizes within which a row's rank by descending value falls, as `top<size>`; else `rest`.
-
-    A global rank needs all rows in one place only above the largest size: rows beyond it are never ranked.
-    """
-    order = [F.desc(value), *map(F.col, tie)]
-    top = df.orderBy(*order).limit(max(sizes)).withColumn("rank", F.row_number().over(W.orderBy(*order)))
-    label = F.lit(None).cast("string")
+    """The smallest of the sizes within which a row's rank by descending value falls, as `top<size>`; else `rest`."""
+    label = F.lit("rest")
     for n in sorted(sizes, reverse=True):
-        label = F.when(F.col("rank") <= n, f"top{n}").otherwise(label)
-    return df.join(top.select(*tie, label.alias("rank_bin")), tie, "left").withColumn("rank_bin", F.coalesce("rank_bin", F.lit("rest")))
+        label = F.when(F.col("__rank") <= n, f"top{n}").otherwise(label)
+    return numbered(df, [F.desc(value), *map(F.col, tie)], "__rank").withColumn("rank_bin", label).drop("__rank")
 
 
 def running_share(df: DataFrame, order: str, value: str, name: str = "cumulative") -> DataFrame:
-    """Running total of a short table, such as explained variances by component."""
-    return df.withColumn(name, F.sum(value).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    """Running total by a column without ties, such as explained variances by component."""
+    return running(df, [order], F.col(value), name)
 
 
 def reduced(before: DataFrame, after: DataFrame, count: str = "count") -> DataFrame:
@@ -79,19 +76,20 @@ def reduced(before: DataFrame, after: DataFrame, count: str = "count") -> DataFr
 def greedy_buckets(sizes: DataFrame, key: str, size: str, most: int) -> DataFrame:
     """Bucket numbers of keys in order: a bucket is closed when the next key would take it beyond `most`.
 
-    For metadata such as file sizes: the list is folded in one row.
+    Every number depends on all before it, so one task reads the sorted rows; it keeps none of them. For metadata such as
+    file sizes. Null sizes count 0.
     """
-    rows = sizes.agg(F.array_sort(F.collect_list(F.struct(key, F.col(size).cast("long").alias("size")))).alias("r"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast(f"array<struct<key:{sizes.schema[key].dataType.simpleString()},size:bigint,bucket:int>>").alias("out"))
-
-    def step(s, x):
-        over = (s["used"] > 0) & (s["used"] + x["size"] > most)
-        n = F.when(over, s["n"] + 1).otherwise(s["n"])
-        return F.struct(F.when(over, x["size"]).otherwise(s["used"] + x["size"]).alias("used"), n.alias("n"), F.concat(s["out"], F.array(F.struct(x[key].alias("key"), x["size"].alias("size"), n.alias("bucket")))).alias("out"))
-
-    return rows.select(F.explode(F.aggregate("r", start, step)["out"]).alias("o")).select(F.col("o.key").alias(key), F.col("o.size").alias(size), F.col("o.bucket").alias("bucket"))
-
-
-def order_key(col: Column, seed: int) -> Column:
-    """A repeatable random order."""
-    return F.xxhash64(col, F.lit(seed))
+    rows = sizes.select(F.col(key), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias(size)).repartitionByRange(1, key).sortWithinPartitions(key)
+
+    def fold(batches):
+        used = bucket = 0
+        for b in batches:
+            out = []
+            for x in b[size].tolist():
+                if used and used + x > most:
+                    used, bucket = 0, bucket + 1
+                used += x
+                out.append(bucket)
+            yield b.assign(bucket=out)
+
+    return rows.mapInPandas(fold, f"`{key}` {sizes.schema[key].dataType.simpleString()}, `{size}` long, bucket int")

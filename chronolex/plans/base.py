@@ -12,7 +12,7 @@ from chronolex.operators.cube import Cube, compounds_from
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-#: Years of shipment in the driver's tables, and the two settings.
+#: Years of shipment in the driver's tables, for SQL, which needs its columns named; and the aware setting.
 YEARS = (1995, 1996, 1997, 1998, 1999, 2000, 2001)
 AWARE = "l_returnflag = 'N'"
 
@@ -82,5 +82,7 @@ def all_cubes_sql(where: str | None = None, suffix: str = "") -> Iterable[str]:
     return cooc_sql(where, c), role_sql("modifier", f"mods{suffix}", c), role_sql("head", f"heads{suffix}", c)
 
 
-def columns(*names: str) -> list[Column]:
-    return [F.col(n) for n in names]
+def values(df: DataFrame, col: str) -> list:
+    """The distinct values of a column of few, sorted; null last."""
+    found = [r[0] for r in df.select(col).distinct().collect()]
+    return sorted((x for x in found if x is not None)) + [None] * (None in found)

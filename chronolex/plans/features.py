@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.operators import assemble, assoc, drift, models, sampling, similarity, vocab
+from chronolex.operators import assemble, assoc, drift, models, order, sampling, similarity, vocab
 from chronolex.operators.cube import Cube, bin_time
-from chronolex.plans.base import AWARE, YEARS, all_cubes_sql, compounds, cooc_sql, cubes, query, r, role_sql, rounded, table, with_sql
+from chronolex.plans.base import AWARE, YEARS, all_cubes_sql, compounds, cooc_sql, cubes, query, r, role_sql, rounded, table, values, with_sql
 
 KEYS = ["modifier", "head", "time"]
 K3 = "modifier, head, time"
@@ -281,7 +281,7 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _rare(spark, sf_dir)
     t = assoc.contingency(c)
     long = rounded(t.join(assoc.association(t), KEYS).select(*KEYS, "ppmi", F.log2(1 + F.col("a").cast("double")).alias("comp_tf")))
-    return assemble.widen(long, ["modifier", "head"], ["ppmi", "comp_tf"], list(YEARS))
+    return assemble.widen(long, ["modifier", "head"], ["ppmi", "comp_tf"], values(t, "time"))
 
 
 RARE_TABLE = TABLE.replace("FROM cooc ", "FROM cooc_r ")
@@ -294,7 +294,8 @@ def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql(RARE, RARE_TABLE, WIDE) + "SELECT modifier, head, " + ", ".join(f'{r(f"coalesce({chr(34)}{c}{chr(34)}, (SELECT median({chr(34)}{c}{chr(34)}) FROM wide))")} AS "{c}"' for c in WIDE_NAMES) + " FROM wide")
 def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(assemble.medians(_wide(spark, sf_dir).persist(), WIDE_NAMES))
+    wide = _wide(spark, sf_dir).persist()
+    return rounded(assemble.medians(wide, [c for c in wide.columns if c not in ("modifier", "head")]))
 
 
 @query(with_sql(RARE, RARE_TABLE, WIDE) + " UNION ALL ".join(f"""SELECT modifier, head, '{c.split(':')[0]}' AS feature, CAST({c.split(':')[1]} AS INTEGER) AS time, {r(chr(34) + c + chr(34))} AS value FROM wide""" for c in WIDE_NAMES))
@@ -314,7 +315,7 @@ def plot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rated pairs keep their row without features; a source's copies are one row."""
     t = assoc.contingency(compounds(spark, sf_dir))
-    wide = assemble.widen(t, ["modifier", "head"], ["a"], list(YEARS))
+    wide = assemble.widen(t, ["modifier", "head"], ["a"], values(t, "time"))
     w = F.split("p_name", " ")
     pairs = table(spark, sf_dir, "part").select(w.getItem(0).alias("modifier"), w.getItem(1).alias("head"))
     ratings = pairs.withColumn("source", F.lit("names")).unionByName(pairs.select("modifier", F.lit("none").alias("head"), F.lit("none").alias("source")))
@@ -375,7 +376,8 @@ def pct_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql(RARE) + "SELECT modifier, head, " + " || ".join(f"max(CASE WHEN time = {y} THEN '1' ELSE '0' END)" for y in YEARS) + " AS pattern, CAST(count(DISTINCT time) AS INTEGER) AS present FROM cooc_r GROUP BY 1, 2")
 def presence_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.presence(_rare(spark, sf_dir).df, ["modifier", "head"], list(YEARS))
+    df = _rare(spark, sf_dir).df
+    return vocab.presence(df, ["modifier", "head"], values(df, "time"))
 
 
 @query(with_sql(cooc_sql(), TABLE, "e AS (SELECT quantile_cont(a, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM t)") + "SELECT modifier, head, time, a, CAST(len(list_filter(e, lambda x: a > x)) + 1 AS INTEGER) AS bin FROM t, e")
@@ -427,12 +429,12 @@ def novelty_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _negative_sql(replace: str) -> str:
     keep = "modifier" if replace == "head" else "head"
-    return with_sql(RARE, "pairs AS (SELECT DISTINCT modifier, head FROM cooc_r)", f"words AS (SELECT {replace} AS word, row_number() OVER (ORDER BY {replace}) - 1 AS slot FROM (SELECT DISTINCT {replace} FROM pairs))", "grid AS (SELECT modifier, head, s.range AS seed, t.range AS attempt FROM pairs, range(10) s, range(8) t)", "drawn AS (SELECT *, CAST('0x' || substr(md5(modifier || '|' || head || '|' || seed || '|' || attempt), 1, 8) AS BIGINT) % (SELECT count(*) FROM words) AS slot FROM grid)", f"free AS (SELECT d.modifier, d.head, d.seed, d.attempt, w.word FROM drawn d JOIN words w USING (slot) WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.{keep} = d.{keep} AND p.{replace} = w.word))") + f"SELECT modifier, head, CAST(seed AS INTEGER) AS seed, arg_min(word, attempt) AS new_{replace} FROM free GROUP BY 1, 2, 3"
+    return with_sql(RARE, "pairs AS (SELECT DISTINCT modifier, head FROM cooc_r)", f"words AS (SELECT {replace} AS word, row_number() OVER (ORDER BY {replace}) - 1 AS slot FROM (SELECT DISTINCT {replace} FROM pairs))", f"kept AS (SELECT DISTINCT {keep} AS k FROM pairs)", f"free AS (SELECT k, word, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS nth, count(*) OVER (PARTITION BY k) AS n FROM kept, words WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.{keep} = k AND p.{replace} = word))", "sizes AS (SELECT DISTINCT k, n FROM free)", f"drawn AS (SELECT modifier, head, s.range AS seed, k, CAST('0x' || substr(md5(modifier || '|' || head || '|' || s.range), 1, 8) AS BIGINT) % n AS nth FROM pairs JOIN sizes ON {keep} = k, range(10) s)") + f"SELECT modifier, head, CAST(seed AS INTEGER) AS seed, word AS new_{replace} FROM drawn JOIN free USING (k, nth)"
 
 
 def _negatives(spark: SparkSession, sf_dir: str, replace: str) -> DataFrame:
     pairs = _rare(spark, sf_dir).df.select("modifier", "head").distinct().persist()
-    words = models.indexed(pairs, replace, "slot").select(F.col(replace).alias("word"), "slot")
+    words = order.indexed(pairs, replace, "slot").select(F.col(replace).alias("word"), "slot")
     return sampling.negatives(pairs, words, pairs, replace)
 
 
