@@ -4,28 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Correlation
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolex.operators.cube import Cube
+from chronolex.operators.order import indexed, mean_ranks
+from chronolex.sources.scratch import stored
 
 
-def indexed(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Distinct values with dense numbers from 0, in the values' order: ranks within range partitions plus offsets."""
-    values = df.select(col).distinct().repartitionByRange(col).withColumn("__p", F.spark_partition_id())
-    local = values.withColumn("__k", F.row_number().over(W.partitionBy("__p").orderBy(col)))
-    sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-    return local.join(offsets, "__p").select(col, (F.col("__k") - 1 + F.col("__o")).alias(name))
+def coordinate_matrix(entries: DataFrame):
+    """A distributed matrix of rows (i long, j long, x double); they stay in the JVM."""
+    from pyspark.mllib.common import callMLlibFunc
+    from pyspark.mllib.linalg.distributed import CoordinateMatrix
+
+    return CoordinateMatrix(callMLlibFunc("createCoordinateMatrix", entries, 0, 0))
+
+
+def _cells(cube: Cube, tag: str) -> DataFrame:
+    """key (joined), context and x, one row for each."""
+    label = F.concat_ws(tag, *(F.col(c).cast("string") for c in cube.row))
+    return cube.df.select(label.alias("key"), "context", F.col("count").cast("double").alias("x")).groupBy("key", "context").agg(F.sum("x").alias("x"))
 
 
 def svd(cube: Cube, k: int, tag: str = "|") -> DataFrame:
@@ -34,15 +39,15 @@ def svd(cube: Cube, k: int, tag: str = "|") -> DataFrame:
     The cube is summed first, as a cell must be there once; the matrix stays distributed and only k vectors of the
     vocabulary's length reach the driver. The sign of a dimension is arbitrary: compare cosines.
     """
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+    from pyspark.mllib.common import callMLlibFunc
 
-    label = F.concat_ws(tag, *(F.col(c).cast("string") for c in cube.row))
-    cells = cube.df.select(label.alias("key"), "context", F.col("count").cast("double").alias("x")).groupBy("key", "context").agg(F.sum("x").alias("x"))
-    rows, cols = indexed(cells, "key", "i").cache(), indexed(cells, "context", "j").cache()
+    cells = stored(_cells(cube, tag), "cells")
+    rows, cols = indexed(cells, "key", "i"), indexed(cells, "context", "j")
     entries = cells.join(rows, "key").join(cols, "context").select("i", "j", "x")
-    u = CoordinateMatrix(entries.rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2]))).toIndexedRowMatrix().computeSVD(k, computeU=True)
-    s = u.s.toArray().tolist()
-    found = u.U.rows.map(lambda r: (r.index, [float(x * y) for x, y in zip(r.vector.toArray(), s, strict=True)])).toDF("i long, v array<double>")
+    u = coordinate_matrix(entries).toIndexedRowMatrix().computeSVD(k, computeU=True)
+    scale = F.array(*(F.lit(float(x)) for x in u.s.toArray()))
+    left = callMLlibFunc("getIndexedRows", u.U._java_matrix_wrapper._java_model).toDF("i", "u")
+    found = left.select("i", F.zip_with(vector_to_array("u"), scale, lambda x, y: x * y).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     return found.join(rows, "i").select("key", F.transform("v", lambda x: F.try_divide(x, norm)).alias("v"))
 
@@ -52,18 +57,15 @@ def svd_project(fit_on: Cube, others: dict[str, Cube], k: int, tag: str = "|") -
 
     The right vectors are a row for each context and are joined to the cells; contexts that the fitted cube lacks add nothing.
     """
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
-
-    label = lambda c: F.concat_ws(tag, *(F.col(x).cast("string") for x in c.row))
-    cells = fit_on.df.select(label(fit_on).alias("key"), "context", F.col("count").cast("double").alias("x"))
-    rows, cols = indexed(cells, "key", "i"), indexed(cells, "context", "j").cache()
+    cells = stored(_cells(fit_on, tag), "cells")
+    rows, cols = indexed(cells, "key", "i"), stored(indexed(cells, "context", "j"), "contexts")
     entries = cells.join(rows, "key").join(cols, "context").select("i", "j", "x")
-    v = CoordinateMatrix(entries.rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2]))).toIndexedRowMatrix().computeSVD(k, computeU=False).V.toArray()
-    right = fit_on.df.sparkSession.createDataFrame([(j, [float(x) for x in row]) for j, row in enumerate(v)], "j long, w array<double>")
+    v = coordinate_matrix(entries).toIndexedRowMatrix().computeSVD(k, computeU=False).V.toArray()
+    right = fit_on.df.sparkSession.createDataFrame([(j, row.tolist()) for j, row in enumerate(v)], "j long, w array<double>")
     space = cols.join(right, "j").select("context", "w")
     out = None
     for kind, cube in others.items():
-        part = cube.df.select(label(cube).alias("key"), "context", F.col("count").cast("double").alias("x")).join(space, "context")
+        part = _cells(cube, tag).join(space, "context")
         part = part.select(F.lit(kind).alias("kind"), "key", F.posexplode(F.transform("w", lambda z: z * F.col("x"))).alias("d", "z")).groupBy("kind", "key", "d").agg(F.sum("z").alias("z"))
         out = part if out is None else out.unionByName(part)
     vec = out.groupBy("kind", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "z"))), lambda t: t["z"]).alias("v"))
@@ -88,38 +90,140 @@ def prepared(cols: Sequence[str]) -> Pipeline:
     return Pipeline(stages=[Imputer(strategy="median", inputCols=list(cols), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="__raw"), VarianceThresholdSelector(featuresCol="__raw", outputCol="__some", varianceThreshold=1e-9), StandardScaler(inputCol="__some", outputCol="features", withMean=True, withStd=True)])
 
 
-class SpearmanEvaluator(Evaluator):
-    """Rank correlation of prediction and label, ties by mean rank."""
-
-    def __init__(self, label: str = "label"):
-        super().__init__()
-        self.label = label
+def selected(fitted, cols: Sequence[str]) -> list[str]:
+    """The columns that are left in the features of a fitted `prepared` pipeline, in their order."""
+    return [cols[k] for k in fitted.stages[2].selectedFeatures]
 
-    def _evaluate(self, dataset: DataFrame) -> float:
-        ranked = dataset.select("prediction", self.label)
-        for c in ("prediction", self.label):
-            n = dataset.groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-            ranks = n.withColumn("__r_" + c, F.sum("__n").over(W.orderBy(c)) - (F.col("__n") - 1) / 2).drop("__n")
-            ranked = ranked.join(ranks, c)
-        found = ranked.agg(F.corr("__r_prediction", "__r_" + self.label)).first()[0]
-        return float(found) if found is not None and found == found else 0.0
 
-    def isLargerBetter(self) -> bool:  # noqa: N802
-        return True
+def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rank correlation of two columns, ties by mean rank: one row, or one for each group.
 
+    Ranks run on from group to group, which leaves the correlations as they are, so no group is sorted in one task.
+    """
+    ranked = df.select(*by, a, b).na.drop()
+    for c in (a, b):
+        ranked = ranked.join(mean_ranks(ranked, [*by, c], f"__r_{c}"), [*by, c])
+    return ranked.groupBy(*by).agg(F.corr(f"__r_{a}", f"__r_{b}").alias("rho"))
 
-def elastic_net(df: DataFrame, label: str, folds: int = 10, seed: int = 1991, mixes: Sequence[float] = (0.0, 0.5, 1.0), strengths: Sequence[float] = (0.001, 0.01, 0.1, 1.0), evaluator: Evaluator | None = None):
-    """Cross-validated elastic net over a grid of mixing weights and strengths; df has `features`."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-
-    model = LinearRegression(featuresCol="features", labelCol=label, maxIter=50)
-    grid = ParamGridBuilder().addGrid(model.elasticNetParam, list(mixes)).addGrid(model.regParam, list(strengths)).build()
-    return CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=evaluator or RegressionEvaluator(labelCol=label, metricName="r2"), numFolds=folds, seed=seed, parallelism=4).fit(df)
 
+def products(df: DataFrame, label: str, key: Column, folds: int, seeds: Sequence[int], features: str = "features") -> np.ndarray:
+    """Sums of products of (1, features, label) by seed and fold: an array (seed, fold, m, m).
 
-def importance(coefficients: Sequence[float], names: Sequence[str], family) -> list[tuple[str, str, float]]:
-    """Absolute standardised coefficients with their feature's family."""
-    return [(n, family(n), abs(float(c))) for n, c in zip(names, coefficients, strict=True)]
+    One pass over the data, whatever is fitted on it later; what reaches the driver has the size of the array.
+    """
+    fold = F.array(*(F.pmod(F.xxhash64(F.lit(s), key), F.lit(folds)).cast("int") for s in seeds))
+    rows = df.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"), fold.alias("f")).filter("y is not null")
+    n_seeds = len(seeds)
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            z = np.column_stack([np.ones(n), b.column("x").flatten().to_numpy().reshape(n, -1), b.column("y").to_numpy()])
+            f = b.column("f").flatten().to_numpy().reshape(n, n_seeds)
+            if total is None:
+                total = np.zeros((n_seeds, folds, z.shape[1], z.shape[1]))
+            for s in range(n_seeds):
+                for k in range(folds):
+                    own = z[f[:, s] == k]
+                    total[s, k] += own.T @ own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["k", "value"])
+
+    sums = rows.mapInArrow(run, "k long, value double").groupBy("k").agg(F.sum("value").alias("value")).toPandas().sort_values("k")
+    m = round((len(sums) / (n_seeds * folds)) ** 0.5)
+    return sums["value"].to_numpy().reshape(n_seeds, folds, m, m)
+
+
+def penalised(sums: np.ndarray, mixes: np.ndarray, strengths: Sequence[float], sweeps: int = 200, least: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Elastic nets on sums of products, one problem for each row of sums and entry of mixes, at every strength.
+
+    Columns and label are scaled to unit variance, so strengths mean the same for all. Gives weights (strength, problem,
+    1 + features) on the data's own scale, intercept first, and the scaled ones without it. All problems go through the
+    coordinates together, from the greatest strength to the smallest, each from where the last one ended.
+    """
+    n, mean = sums[:, 0, 0, None], sums[:, 0, 1:] / sums[:, 0, 0, None]
+    cov = sums[:, 1:, 1:] / n[:, :, None] - mean[:, :, None] * mean[:, None, :]
+    sd = np.sqrt(np.maximum(np.einsum("pii->pi", cov), 0))
+    sd = np.where(sd > 1e-9 * (1 + np.abs(mean)), sd, np.inf)
+    corr = cov / (sd[:, :, None] * sd[:, None, :])
+    r, g = np.ascontiguousarray(corr[:, :-1, :-1].transpose(1, 2, 0)), np.ascontiguousarray(corr[:, :-1, -1].T)
+    b = np.zeros_like(g)
+    scaled = np.zeros((len(strengths), *b.T.shape))
+    for at in np.argsort(strengths)[::-1]:
+        l1, l2 = strengths[at] * mixes, 1 + strengths[at] * (1 - mixes)
+        for _ in range(sweeps):
+            most = 0.0
+            for j, own in enumerate(b):
+                x = g[j] + own
+                delta = np.sign(x) * np.maximum(np.abs(x) - l1, 0) / l2 - own
+                size = float(np.abs(delta).max(initial=0))
+                if size:
+                    own += delta
+                    g -= r[j] * delta
+                    most = max(most, size)
+            if most < least:
+                break
+        scaled[at] = b.T
+    slope = scaled * np.where(np.isfinite(sd[:, -1:]), sd[:, -1:], 0) / sd[:, :-1]
+    return np.concatenate([mean[:, -1:] - (slope * mean[:, :-1]).sum(axis=2, keepdims=True), slope], axis=2), scaled
+
+
+#: Numbers of the problems that are solved together.
+PROBLEM_NUMBERS = 1 << 24
+# The grid of the regressions.
+MIXES, STRENGTHS, FOLDS, SEEDS = tuple(k / 10 for k in range(1, 11)), tuple(10 ** (-4 + 4 * k / 99) for k in range(100)), 10, tuple(range(10))
+
+
+def elastic_net(df: DataFrame, label: str, names: Sequence[str], key: Column, folds: int = FOLDS, seeds: Sequence[int] = SEEDS, mixes: Sequence[float] = MIXES, strengths: Sequence[float] = STRENGTHS, features: str = "features") -> tuple[DataFrame, DataFrame]:
+    """Cross-validated elastic nets over a grid of mixing weights and strengths, for each seed's folds.
+
+    A row for each seed, mix and strength with the mean R squared of its folds; and a row for each seed and feature with
+    the absolute standardised coefficient at the seed's best mix and strength, fitted on all rows, with these, their R squared
+    and the rank correlation of the label with what each fold's model predicts for its held-out rows.
+    """
+    spark, seeds = df.sparkSession, list(seeds)
+    sums = products(df, label, key, folds, seeds, features)
+    m = sums.shape[-1]
+    train = np.repeat((sums.sum(axis=1, keepdims=True) - sums).reshape(-1, m, m), len(mixes), axis=0)
+    mix_of = np.tile(np.array(mixes), len(seeds) * folds)
+    step = max(1, PROBLEM_NUMBERS // (m * m))
+    raw = np.concatenate([penalised(train[at : at + step], mix_of[at : at + step], strengths)[0] for at in range(0, len(train), step)], axis=1)
+    raw = raw.reshape(len(strengths), len(seeds), folds, len(mixes), m - 1)
+    grid = []
+    weights = {}
+    for s, seed in enumerate(seeds):
+        w = np.concatenate([-raw[:, s], np.ones((*raw[:, s].shape[:3], 1))], axis=3)
+        n = np.maximum(sums[s][:, 0, 0], 1)
+        sst = sums[s][:, -1, -1] - sums[s][:, 0, -1] ** 2 / n
+        some = sst > 1e-9 * np.maximum(sums[s][:, -1, -1], 1)  # folds without rows, or with one label only, tell nothing
+        sse = np.einsum("lfai,fij,lfaj->lfa", w[:, some], sums[s][some], w[:, some])
+        r2 = (1 - sse / sst[some][None, :, None]).mean(axis=1) if some.any() else np.zeros((len(strengths), len(mixes)))
+        grid += [(seed, float(a), float(x), float(r2[k, i])) for k, x in enumerate(strengths) for i, a in enumerate(mixes)]
+        k, i = np.unravel_index(np.argmax(r2), r2.shape)
+        _, scaled = penalised(sums[s].sum(axis=0)[None], np.array([mixes[i]]), [strengths[k]])
+        weights[seed] = (float(mixes[i]), float(strengths[k]), float(r2[k, i]), -w[k, :, i, :-1], np.abs(scaled[0, 0]))
+    x, held = F.concat(F.array(F.lit(1.0)), vector_to_array(features)), None
+    for seed, (*_, w, _) in weights.items():
+        of_fold = F.get(F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in w)), F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)).cast("int"))
+        predicted = F.aggregate(F.zip_with(x, of_fold, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        part = df.select(F.lit(seed).alias("seed"), predicted.alias("prediction"), F.col(label).cast("double").alias("label"))
+        held = part if held is None else held.unionByName(part)
+    rho = {r["seed"]: r["rho"] for r in spearman(stored(held, "held-out"), "prediction", "label", ["seed"]).collect()}
+    best = [(seed, n, float(v), a, x, r2, rho.get(seed)) for seed, (a, x, r2, _, imp) in weights.items() for n, v in zip(names, imp, strict=True)]
+    return (
+        spark.createDataFrame(grid, "seed int, mix double, strength double, r2 double"),
+        spark.createDataFrame(best, "seed int, feature string, importance double, mix double, strength double, r2 double, rho double"),
+    )
+
+
+def best_configurations(report: DataFrame, by: str, n: int, order: Sequence[str]) -> DataFrame:
+    """The n rows of the highest value; ties in the order of other columns."""
+    return report.orderBy(F.desc(by), *order).limit(n)
 
 
 def mlp(train: DataFrame, inputs: int, hidden: int = 300, classes: int = 2, steps: int = 100, seed: int = 7):
@@ -138,6 +242,11 @@ def confusion(predicted: DataFrame) -> DataFrame:
     return predicted.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
+def false_positives(predicted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of the rows that a classifier takes for real though they are made up."""
+    return predicted.filter("label = 0 and prediction = 1").select(*keys)
+
+
 def correlations(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
     """a, b and their correlation for every pair of columns; rows with nulls are left out."""
     if method == "pearson":

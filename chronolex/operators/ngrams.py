@@ -102,10 +102,19 @@ def class_of(tags: Sequence[str]) -> int:
     return 0
 
 
-def noun_class_of(tags: Sequence[str]) -> int:
-    """Class 0 to 5: noun-noun patterns only."""
-    c = class_of(["NOUN" if t in NOUNS else "X" for t in tags])
-    return c if c <= 5 else 0
+def noun_class_of(tags: Sequence[str], merged: bool = False) -> int:
+    """Class 0 to 5: noun-noun patterns only; merged ones may begin with an adjective."""
+    noun = [t in NOUNS for t in tags]
+    first = [n or merged and t == "ADJ" for n, t in zip(noun, tags, strict=True)]
+    p = [first[k] and noun[k + 1] for k in range(4)]
+    left, right = p[0] and not noun[2], p[3] and not noun[2]
+    if right and not left:
+        return 5
+    if p[2] and not noun[1] and not noun[4]:
+        return 4
+    if p[1] and not noun[0] and not noun[3]:
+        return 3
+    return (1 if right else 2) if left else 0
 
 
 def code(pos: Column, size: int = 5) -> Column:
@@ -132,8 +141,8 @@ def pattern_class(pos: Column) -> Column:
     return F.element_at(table(class_of, "int"), code(pos) + 1)
 
 
-def noun_class(pos: Column) -> Column:
-    return F.element_at(table(noun_class_of, "int"), code(pos) + 1)
+def noun_class(pos: Column, merged: bool = False) -> Column:
+    return F.element_at(table(lambda tags: noun_class_of(tags, merged), "int"), code(pos) + 1)
 
 
 def _slot(window: Column, k: int) -> Column:

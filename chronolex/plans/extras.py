@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolex.functions import text as tx
-from chronolex.operators import assemble, assoc, models, ngrams, sampling, similarity, vocab
+from chronolex.operators import assemble, assoc, models, ngrams, vocab
 from chronolex.operators.cube import Cube
 from chronolex.plans.base import compounds, cooc_sql, query, r, role_sql, rounded, table, with_sql
 from chronolex.plans.features import RARE, RATINGS, TABLE, _rare, _ratings, _tag_sql
-from chronolex.plans.texts import TOKENS, WORDS, _docs
+from chronolex.plans.texts import TOKENS, WIN5, WORDS, _docs
 from chronolex.sources import corpora
 
 
@@ -54,10 +54,17 @@ def two_way_anova(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("factor", F.round("ss", 2).alias("ss"), "df", F.round("ss_rest", 2).alias("ss_rest"), "df_rest", F.round("f_value", 4).alias("f_value"))
 
 
-@query(with_sql(cooc_sql(), TABLE, "w AS (SELECT fa, fx FROM t)") + f"SELECT 'x_star' AS term, {r('regr_slope(fa, fx)', 5)} AS coefficient, {r('regr_r2(fa, fx)', 5)} AS r2 FROM w UNION ALL SELECT '(intercept)', {r('regr_intercept(fa, fx)', 5)}, {r('regr_r2(fa, fx)', 5)} FROM w")
+REGRESSION = "w AS (SELECT fa, fx FROM t)", "z AS (SELECT regr_slope(fa, fx) AS b, regr_intercept(fa, fx) AS i, regr_r2(fa, fx) AS q, regr_avgx(fa, fx) AS m, regr_sxx(fa, fx) AS sxx, count(*) AS n FROM w)", "e AS (SELECT z.*, (SELECT sum((fa - i - b * fx) * (fa - i - b * fx)) FROM w) / (n - 2) AS v FROM z)"
+
+
+@query(with_sql(cooc_sql(), TABLE, *REGRESSION) + f"SELECT 'x_star' AS term, {r('b', 5)} AS coefficient, {r('sqrt(v / sxx)', 5)} AS error, {r('b / sqrt(v / sxx)', 4)} AS t, {r('q', 5)} AS r2 FROM e UNION ALL SELECT '(intercept)', {r('i', 4)}, {r('sqrt(v * (1.0 / n + m * m / sxx))', 4)}, {r('i / sqrt(v * (1.0 / n + m * m / sxx))', 4)}, {r('q', 5)} FROM e")
 def linear_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients with their errors and t values; p values, which SQL has no function for, are held against an integral in the tests."""
     t = assoc.contingency(compounds(spark, sf_dir)).select(F.col("a").cast("double"), F.col("x_star").cast("double"))
-    return rounded(models.linear_summary(t, "a", ["x_star"]).select("term", "coefficient", "r2"), 5)
+    digits = F.when(F.col("term") == "x_star", 5).otherwise(4)
+    out = models.linear_summary(t, "a", ["x_star"])
+    fine = lambda c: F.when(digits == 5, F.round(c, 5)).otherwise(F.round(c, 4)).alias(c)
+    return out.select("term", fine("coefficient"), fine("error"), F.round("t", 4).alias("t"), F.round("r2", 5).alias("r2"))
 
 
 CLAWS = "CASE WHEN pos = 'NOUN' THEN 'nn1' WHEN pos = 'VERB' THEN 'vvd' WHEN pos = 'ADJ' THEN 'jj' WHEN pos = 'ADV' THEN 'rr' ELSE 'at' END"
@@ -89,13 +96,14 @@ def compound_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", dep.alias("dep")).select("doc_id", F.exists("dep", lambda d: d == "compound").alias("has_compound"), ngrams.compound_runs(F.col("dep")).alias("runs"))
 
 
-@query(with_sql(WORDS, TOKENS, "f AS (SELECT doc_id, string_agg(lemma || '_' || pos, ' ' ORDER BY k) AS g, count(*) AS n FROM toks WHERE k <= 5 GROUP BY 1)") + "SELECT d.doc_id, coalesce(n = 5, false) AS fully_tagged, coalesce(n = 5, false) AND regexp_matches(g, '_ADJ( |$)') AS has_adj FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id")
+@query(with_sql(WORDS, TOKENS, WIN5) + "SELECT d.doc_id, count(w.doc_id) AS n_full, CAST(count(w.doc_id) FILTER (WHERE 'ADJ' IN (p0, p1, p2, p3, p4)) AS BIGINT) AS n_adj FROM documents d LEFT JOIN win w ON d.doc_id = w.doc_id GROUP BY 1")
 def ngram_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tests on the joined form of a document's first five tokens."""
-    g = ngrams.lemma_pos(F.slice("tokens", 1, 5))
-    t = ngrams.annotate(_docs(spark, sf_dir), ["doc_id"]).select("doc_id", g.alias("g"))
+    """Tests on the joined form of all of a document's windows: fully tagged ones, and those with an adjective."""
+    t = ngrams.annotate(_docs(spark, sf_dir), ["doc_id"])
+    at = F.when(F.size("tokens") >= 5, F.sequence(F.lit(1), F.size("tokens") - 4))
+    g = t.select("doc_id", F.explode_outer(at).alias("k"), "tokens").select("doc_id", ngrams.lemma_pos(F.slice("tokens", F.coalesce("k", F.lit(1)), F.lit(5))).alias("g"))
     full = tx.fully_tagged(F.col("g")) & (tx.token_count(F.col("g")) == 5) & tx.already_tagged(F.col("g"))
-    return t.select("doc_id", full.alias("fully_tagged"), (full & F.col("g").rlike("_ADJ( |$)")).alias("has_adj"))
+    return g.groupBy("doc_id").agg(F.count_if(full).alias("n_full"), F.count_if(full & F.col("g").rlike("_ADJ( |$)")).alias("n_adj"))
 
 
 @query(with_sql(RARE, role_sql("modifier", "mr", "cooc_r"), "k AS (SELECT modifier, CAST(sum(count) AS BIGINT) AS count FROM mr GROUP BY 1)") + "SELECT modifier || '_ADJ' AS modifier, count FROM k WHERE regexp_full_match(modifier, '.*[0-9]+')")
@@ -130,50 +138,3 @@ def modifier_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 def constituent_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = compounds(spark, sf_dir).projected("modifier").df.groupBy("modifier").agg(F.sum("count").alias("m"), F.count_distinct("context").alias("contexts"))
     return rounded(m.select("*", (F.col("m").cast("double") / F.col("contexts")).alias("per_context")))
-
-
-@query()
-def svd_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A space fitted on compounds; modifiers and heads projected, and the cosine of each pair's constituents in it."""
-    c = compounds(spark, sf_dir)
-    c = Cube(c.df.persist(), c.keys)
-    v = models.svd_project(c, {"modifier": c.projected("modifier"), "head": c.projected("head")}, 6).persist()
-    pairs = c.df.select("modifier", "head", "time").distinct()
-    side = lambda kind: v.filter(F.col("kind") == kind).select(F.split("key", r"\|").getItem(0).alias(kind), F.split("key", r"\|").getItem(1).cast("int").alias("time"), F.col("v").alias(f"v_{kind}"))
-    return pairs.join(side("modifier"), ["modifier", "time"]).join(side("head"), ["head", "time"]).select("modifier", "head", "time", similarity.dense_cosine(F.col("v_modifier"), F.col("v_head")).alias("cosine"))
-
-
-@query()
-def plausibility_over_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seen pairs against corrupted ones, ten negative sets, one network over all: mean accuracy and its deviation."""
-    from pyspark.ml.feature import VectorAssembler
-
-    c = _rare(spark, sf_dir)
-    pairs = c.df.select("modifier", "head").distinct().persist()
-    words = models.indexed(pairs, "head", "slot").select(F.col("head").alias("word"), "slot")
-    neg = sampling.negatives(pairs, words, pairs, "head").select("modifier", F.col("new_head").alias("head"), "seed", F.lit(0.0).alias("label"))
-    pos = pairs.select("modifier", "head", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("seed"), F.lit(1.0).alias("label"))
-    unit = lambda k, n: c.df.groupBy(k).agg(F.log2(F.sum("count").cast("double")).alias(f"{n}_mass"), F.count(F.lit(1)).cast("double").alias(f"{n}_rows"))
-    rows = pos.unionByName(neg).join(unit("modifier", "m"), "modifier").join(unit("head", "h"), "head")
-    data = VectorAssembler(inputCols=["m_mass", "m_rows", "h_mass", "h_rows"], outputCol="features").transform(rows)
-    data = sampling.hash_split(data, F.concat_ws("|", "modifier", "head"), 0.8, 1991).persist()
-    model = models.mlp(data.filter("part = 'train'"), 4, hidden=8, steps=20)
-    return models.accuracy_over_sets(model.transform(data.filter("part = 'test'")), "seed")
-
-
-@query()
-def ridge_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed mixing weights 0 and 1 on association features: coefficients by method."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    t = assoc.contingency(compounds(spark, sf_dir))
-    f = t.join(assoc.association(t), ["modifier", "head", "time"]).select("ppmi", "local_mi", F.log2(F.col("x_star").cast("double")).alias("mod_tf"), F.log2(F.col("a").cast("double")).alias("label"))
-    data = VectorAssembler(inputCols=["ppmi", "local_mi", "mod_tf"], outputCol="features").transform(f).persist()
-    rows = []
-    for name, mix in (("ridge", 0.0), ("lasso", 1.0)):
-        m = LinearRegression(elasticNetParam=mix, regParam=0.01).fit(data)
-        rows += [(name, n, float(x)) for n, x in zip(("ppmi", "local_mi", "mod_tf"), m.coefficients.toArray(), strict=True)]
-    return spark.createDataFrame(rows, "method string, term string, coefficient double")
-
-
