@@ -22,9 +22,31 @@ def token_count(text: Column) -> Column:
     return F.size(F.split(text, " "))
 
 
-def all_unknown(pos: Column) -> Column:
-    """All tags of an array are X."""
-    return F.size(F.filter(pos, lambda p: p == "X")) == F.size(pos)
+def all_unknown(pos: Column, tag: str = "X") -> Column:
+    """All tags of an array are X, or another tag."""
+    return F.size(F.filter(pos, lambda p: p == tag)) == F.size(pos)
+
+
+# Frequent words of one language each.
+FUNCTION_WORDS = {
+    "de": ("der", "die", "das", "und", "ist", "nicht", "ein", "mit", "von", "auf", "den", "zu"),
+    "en": ("the", "of", "and", "to", "is", "that", "with", "for", "are", "was", "this", "by"),
+    "es": ("el", "los", "las", "y", "que", "por", "del", "con", "una", "no", "como", "se"),
+    "fr": ("le", "les", "et", "des", "est", "dans", "pour", "sur", "une", "du", "au", "pas"),
+}
+
+
+def language_scores(words: Column, least: float = 0.1) -> Column:
+    """(p, lang) of the languages with at least this share of an array's function words, best first; ties go to the name that
+    sorts last. Null without any. The seam where a trained identifier would go."""
+
+    def count(listed: tuple[str, ...]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*listed))).cast("double")
+
+    n = {lang: count(listed) for lang, listed in FUNCTION_WORDS.items()}
+    total = sum(list(n.values())[1:], list(n.values())[0])
+    rows = F.array(*(F.struct((x / total).alias("p"), F.lit(lang).alias("lang")) for lang, x in n.items()))
+    return F.when(total > 0, F.filter(F.sort_array(rows, asc=False), lambda x: x["p"] >= least))
 
 
 def confident(scores: Column, margin: float = 0.1) -> Column:
@@ -65,8 +87,9 @@ def role_suffix(word: Column, role: str) -> Column:
     return F.when(word.rlike("_noun$"), F.regexp_replace(word, "_noun$", s)).otherwise(F.concat(word, F.lit(s)))
 
 
-def alphabetic(word: Column) -> Column:
-    return word.rlike("^[a-zA-Z]+$")
+def clean_word(word: Column, pos: Column, tags: tuple[str, ...] = ("NOUN", "PROPN", "VERB", "ADJ", "ADV")) -> Column:
+    """A content word of letters only."""
+    return word.rlike("^[a-zA-Z]+$") & pos.isin(*tags)
 
 
 # How texts begin that moderation or a script has put in a post's place.

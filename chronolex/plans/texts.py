@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolex.functions import text as tx
-from chronolex.operators import drift, models, ngrams, sampling, similarity, vocab
-from chronolex.operators.cube import bin_time
-from chronolex.plans.base import query, r, rounded, table, with_sql
+from chronolex.operators import assoc, drift, ngrams, similarity, vocab
+from chronolex.operators.cube import Cube, bin_time
+from chronolex.plans.base import query, r, rounded, table, values, with_sql
+from chronolex.plans.features import LLR, PMI, TABLE
 from chronolex.sources import corpora, scratch, sinks
 from chronolex.streaming import feed
 
@@ -62,11 +62,11 @@ def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir).withColumn("comp_class", ngrams.pattern_class(pos)).withColumn("noun_class", ngrams.noun_class(pos))
 
 
-@query(with_sql(WORDS, TOKENS) + "SELECT d.doc_id, CAST(coalesce(max(k), 0) AS INTEGER) AS n_tokens, " + " || ' ' || ".join(f"coalesce(max(CASE WHEN k = {k} THEN lemma || '_' || pos END), 'eos_X')" for k in range(1, 6)) + " AS lemma_pos FROM documents d LEFT JOIN toks t ON d.doc_id = t.doc_id GROUP BY 1")
+@query(with_sql(WORDS, TOKENS, "j AS (SELECT doc_id, count(*) AS n, string_agg(lemma || '_' || pos, ' ' ORDER BY k) AS s FROM toks GROUP BY 1)") + "SELECT d.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_tokens, md5(concat_ws(' ', s, CASE WHEN coalesce(n, 0) < 5 THEN rtrim(repeat('eos_X ', CAST(5 - coalesce(n, 0) AS INTEGER))) END)) AS lemma_pos FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id")
 def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of tokens, and the first five as lemma_POS, short texts padded."""
+    """Number of tokens, and a digest of all of them as lemma_POS, short texts padded."""
     t = ngrams.annotate(_docs(spark, sf_dir), ["doc_id"])
-    return t.select("doc_id", F.size("tokens").alias("n_tokens"), ngrams.lemma_pos(F.slice(ngrams.padded(F.col("tokens")), 1, 5)).alias("lemma_pos"))
+    return t.select("doc_id", F.size("tokens").alias("n_tokens"), F.md5(ngrams.lemma_pos(ngrams.padded(F.col("tokens")))).alias("lemma_pos"))
 
 
 @query(with_sql(WORDS, TOKENS, WIN5) + "SELECT time, p0 || ' ' || p1 || ' ' || p2 || ' ' || p3 || ' ' || p4 AS tags, count(*) AS n FROM win GROUP BY 1, 2")
@@ -228,11 +228,18 @@ def words_every_decade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.always_present(t.persist(), "lemma", "time", least=10)
 
 
-@query("SELECT lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE lang = 'en' AND length(text) > 0 GROUP BY 1")
+def _scores_sql() -> str:
+    counts = ", ".join(f"len(list_filter(w, lambda x: list_contains({list(ws)}, x))) AS {lang}" for lang, ws in tx.FUNCTION_WORDS.items())
+    rows = ", ".join(f"{{'p': {lang} / t, 'lang': '{lang}'}}" for lang in tx.FUNCTION_WORDS)
+    return f"n AS (SELECT doc_id, {counts} FROM words), s AS (SELECT doc_id, list_filter(list_reverse_sort([{rows}]), lambda x: x.p >= 0.1) AS s FROM (SELECT *, CAST({' + '.join(tx.FUNCTION_WORDS)} AS DOUBLE) AS t FROM n) WHERE t > 0)"
+
+
+@query(with_sql(WORDS, _scores_sql()) + "SELECT s[1].lang AS lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(sum(doc_id) AS BIGINT) AS ids FROM s JOIN documents d USING (doc_id) WHERE len(s) = 1 OR abs(s[1].p - s[2].p) / (s[1].p + s[2].p) > 0.1 GROUP BY 1")
 def language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language seam on the labelled column; a confident score is one label here."""
-    d = table(spark, sf_dir, "documents").filter((F.col("lang") == "en") & (F.length("text") > 0) & tx.confident(F.array(F.lit(1.0))))
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
+    """Documents whose best language is well ahead of the second, by shares of function words; scores under 0.1 are no labels."""
+    scores = tx.language_scores(ngrams.words_of(F.col("text")))
+    d = table(spark, sf_dir, "documents").withColumn("s", scores).filter(tx.confident(F.transform("s", lambda x: x["p"])))
+    return d.groupBy(F.col("s")[0]["lang"].alias("lang")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"), F.sum("doc_id").alias("ids"))
 
 
 @query(with_sql(WORDS, TOKENS) + "SELECT doc_id, count(*) AS n_tokens, CAST(count(*) FILTER (WHERE pos = 'NOUN') AS BIGINT) AS n_nouns, CAST(count(*) FILTER (WHERE pos = 'DET') AS BIGINT) AS n_dets FROM toks GROUP BY 1")
@@ -280,9 +287,9 @@ def posts_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type", corpora.year_of(F.col("created_utc")).alias("year")).agg(F.count(F.lit(1)).alias("count"))
 
 
-@query("SELECT doc_id, length(trim(regexp_replace(regexp_replace(text, '\\|p[0-9]+|\\||@@[0-9]*|</?P>', ' ', 'g'), '\\s+', ' ', 'g'))) AS n FROM documents")
+@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\\|p[0-9]+|\\||@@[0-9]*|</?P>', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM documents")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(tx.clean_tagged_text(F.col("text"))).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.clean_tagged_text(F.col("text"))).alias("digest"))
 
 
 @query("SELECT p_partkey, split_part(p_name, ' ', 1) AS modifier, split_part(p_name, ' ', 2) AS head, CASE WHEN split_part(p_name, ' ', 1) = 'red' THEN 'ruddy' ELSE split_part(p_name, ' ', 1) END AS respelled, TRY_CAST(p_brand AS DOUBLE) AS number, CAST(levenshtein(split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)) AS INTEGER) AS distance FROM part")
@@ -330,15 +337,19 @@ def emb_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(drift.dense_change(table(spark, sf_dir, "embeddings"), ["label"], "embedding", time="vec_id"), 5)
 
 
-@query(with_sql(EMB, "m AS (SELECT label, vec_id, list_sum(list_transform(v, lambda x: x + 1)) AS mass FROM e)", "t AS (SELECT vec_id, label, mass AS a, sum(mass) OVER (PARTITION BY label) AS x, sum(mass) OVER () AS n FROM m)") + f"SELECT vec_id, label, {r('log2((a * n + 1) / (x * a + 1))', 5)} AS ppmi FROM t")
+DENSE = "cooc AS (SELECT 'l' || label AS modifier, 'h' || vec_id % 20 AS head, CAST(vec_id % 3 AS INTEGER) AS time, list_sum(list_transform(v, lambda x: x + 1)) AS count FROM e)"
+
+
+@query(with_sql(EMB, DENSE, TABLE.replace("AS BIGINT", "AS DOUBLE")) + f"SELECT modifier, head, time, {r('fa', 3)} AS a, {r('fx', 3)} AS x_star, {r('fy', 3)} AS star_y, {r(LLR, 3)} AS log_ratio, {r(f'greatest({PMI}, 0)', 5)} AS ppmi, {r(f'fa * ({PMI})', 3)} AS local_mi FROM t")
 def emb_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense variant of association: a vector's mass is the sum of its values plus one."""
+    """The dense variant of association: a vector's mass is the sum of its values plus one, and pairs of labels and shares of
+    the vectors are the table's rows and columns."""
     mass = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") + 1)
-    m = table(spark, sf_dir, "embeddings").select("vec_id", "label", mass.alias("a"))
-    x = m.groupBy("label").agg(F.sum("a").alias("x"))
-    n = x.agg(F.sum("x").alias("n"))
-    t = m.join(x, "label").crossJoin(F.broadcast(n))
-    return rounded(t.select("vec_id", "label", F.log2((F.col("a") * F.col("n") + 1) / (F.col("x") * F.col("a") + 1)).alias("ppmi")), 5)
+    name = lambda letter, x: F.concat(F.lit(letter), x.cast("string"))
+    cells = table(spark, sf_dir, "embeddings").select(name("l", F.col("label")).alias("modifier"), name("h", F.col("vec_id") % 20).alias("head"), F.lit("all").alias("context"), (F.col("vec_id") % 3).cast("int").alias("time"), mass.alias("count"))
+    t = assoc.contingency(Cube(cells, ("modifier", "head"))).persist()
+    both = t.join(assoc.association(t), ["modifier", "head", "time"])
+    return both.select("modifier", "head", "time", *((F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("a", 3), ("x_star", 3), ("star_y", 3), ("log_ratio", 3), ("ppmi", 5), ("local_mi", 3))))
 
 
 @query("SELECT CAST(decade AS INTEGER) AS decade, count(*) AS n, CAST(sum(q) AS BIGINT) AS q FROM (SELECT year(l_shipdate) - year(l_shipdate) % 10 AS decade, CAST(l_quantity AS BIGINT) AS q FROM lineitem) GROUP BY 1")
@@ -373,76 +384,30 @@ def document_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2")
 def config_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which configurations there are; the long form of a pivoted inventory."""
-    d = table(spark, sf_dir, "documents").groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).count()
-    return d.unpivot(["source"], ["de", "en", "es", "fr"], "lang", "n").filter("n is not null")
+    """Which configurations there are; the long form of a pivoted inventory, whose columns are the values that occur."""
+    d = table(spark, sf_dir, "documents").select("source", "lang")
+    found = values(d, "lang")
+    names = [f"lang {k}" for k in range(len(found))]
+    wide = d.groupBy("source").agg(*(F.nullif(F.count_if(F.col("lang").eqNullSafe(F.lit(x))), F.lit(0)).alias(n) for n, x in zip(names, found, strict=True)))
+    lang = F.get(F.array(*map(F.lit, found)), F.substring("name", 6, 9).cast("int"))
+    return wide.unpivot(["source"], names, "name", "n").filter("n is not null").select("source", lang.cast("string").alias("lang"), "n")
 
 
 @query(f"""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type || '_NOUN' AS lemma_pos, count(*) AS count FROM events GROUP BY 1, 2""")
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The social feed as a stream: JSON files in, event-time windows out, all that arrived once the stream has drained."""
+    """The social feed as a stream: JSON files in, event-time windows out, a window's last update once the stream has drained.
+
+    Windows behind the watermark are dropped from the state; a repeated batch overwrites its own folder."""
     folder, name = scratch.folder(spark, "feed"), "feed_" + scratch.folder(spark, "q").rsplit("-", 1)[-1]
     e = table(spark, sf_dir, "events").select(F.unix_timestamp("ts").alias("created_utc"), F.regexp_replace("event_type", "_", "").alias("selftext"))
     e.coalesce(4).write.json(folder)
     posts = feed.read(spark, folder, T.StructType.fromDDL("created_utc long, selftext string")).withColumn("created_at", F.timestamp_seconds("created_utc"))
-    counts = feed.windowed_counts(posts, width="1 day", late="60 days", size=1).select(F.col("window.start").alias("start"), F.regexp_replace("lemma_pos", "_.*", "_NOUN").alias("lemma_pos"), "count")
+    counts = feed.windowed_counts(posts, width="1 day", late="2 days", size=1).select(F.col("window.start").alias("start"), F.regexp_replace("lemma_pos", "_.*", "_NOUN").alias("lemma_pos"), "count")
     path = scratch.folder(spark, "feed-out")
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    q = counts.writeStream.outputMode("complete").option("checkpointLocation", scratch.folder(spark, "feed-state")).queryName(name).trigger(availableNow=True).foreachBatch(keep).start()
+    q = counts.writeStream.outputMode("update").option("checkpointLocation", scratch.folder(spark, "feed-state")).queryName(name).trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    return spark.read.parquet(path)
-
-
-# models: results depend on the engine's arithmetic, so only their shape is compared
-
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    e = table(spark, sf_dir, "embeddings")
-    return sampling.hash_split(e.select("vec_id", (F.col("label") % 2).cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features")), F.col("vec_id").cast("string"), 0.8, 1991)
-
-
-@query()
-def svd_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring rows of the reduced space; cosines do not depend on signs."""
-    from chronolex.plans.base import compounds
-
-    v = models.svd(compounds(spark, sf_dir).projected("modifier"), 8).select("key", "v")
-    before = F.lag("v").over(W.partitionBy(F.split("key", r"\|").getItem(0)).orderBy("key"))
-    return v.withColumn("w", before).filter("w is not null").select("key", similarity.dense_cosine(F.col("v"), F.col("w")).alias("cosine"))
-
-
-@query()
-def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return models.projected(e.filter("label = 0"), e.select("vec_id", "embedding"), "embedding", 4).select("vec_id", "v")
-
-
-@query()
-def mlp_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _labelled(spark, sf_dir).persist()
-    model = models.mlp(d.filter("part = 'train'"), 64, hidden=16, steps=30)
-    return models.accuracy(model.transform(d.filter("part = 'test'")))
-
-
-@query()
-def gbt_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _labelled(spark, sf_dir).persist()
-    return models.confusion(models.gbt(d.filter("part = 'train'"), trees=5).transform(d.filter("part = 'test'")))
-
-
-@query()
-def elastic_net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size of parts from association features: best cross-validated score and importance by feature family."""
-    from chronolex.operators import assemble, assoc
-    from chronolex.plans.base import cubes
-
-    f = assoc.features(*cubes(spark, sf_dir))
-    names = [c for c in f.columns if c not in ("modifier", "head", "time")]
-    data = models.prepared(names).fit(f.select(*(F.col(c).cast("double").alias(c) for c in names))).transform(f.select(*(F.col(c).cast("double").alias(c) for c in names))).persist()
-    fitted = models.elastic_net(data.withColumnRenamed("log_ratio", "label").select("features", "label"), "label", folds=3, mixes=(0.0, 1.0), strengths=(0.01, 1.0))
-    rows = models.importance(fitted.bestModel.coefficients.toArray().tolist() + [0.0] * (len(names) - len(fitted.bestModel.coefficients)), names, assemble.family_of)
-    return spark.createDataFrame([(n, fam, v, float(max(fitted.avgMetrics))) for n, fam, v in rows], "feature string, family string, importance double, r2 double")
+    return spark.read.parquet(path).groupBy("start", "lemma_pos").agg(F.max_by("count", "epoch").alias("count"))

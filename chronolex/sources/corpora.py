@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronolex.operators.order import numbered
+
 NGRAM_V1 = T.StructType([T.StructField("ngram", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("count", T.LongType())])
 SUBMISSION = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "title", "selftext", "subreddit")] + [T.StructField("created_utc", T.LongType()), T.StructField("is_self", T.BooleanType())])
 COMMENT = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "body", "subreddit")] + [T.StructField("created_utc", T.LongType())])
@@ -99,9 +101,10 @@ def inventory(df: DataFrame) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).groupBy("file", "bytes").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def year_of(epoch: Column) -> Column:
-    return F.year(F.timestamp_seconds(epoch))
+def row_range(df: DataFrame, order: list[str], start: int, stop: int) -> DataFrame:
+    """Rows start to stop - 1, from 0, in an order without ties: a range of a stored frame."""
+    return numbered(df, order, "__row").filter(F.col("__row").between(start + 1, stop)).drop("__row")
 
 
-def fallback(first: Column, *others: Column) -> Column:
-    return F.coalesce(first, *others)
+def year_of(epoch: Column) -> Column:
+    return F.year(F.timestamp_seconds(epoch))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronolex.operators.assemble import medians
 from chronolex.operators.cube import Cube
 
 
@@ -34,6 +35,12 @@ def feature_table(df: DataFrame, path: str, config: dict[str, str | int]) -> Non
     df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{path}/{folder}")
 
 
+def feature_twins(df: DataFrame, path: str, config: dict[str, str | int], features: list[str]) -> None:
+    """A feature table twice: with missing values as they are (`na`), and with the columns' medians in their place (`med`)."""
+    for variant, out in (("na", df), ("med", medians(df, features))):
+        feature_table(out, path, {**config, "missing": variant})
+
+
 def word_list(df: DataFrame, col: str, path: str) -> None:
     df.select(F.col(col).cast("string").alias("value")).write.mode("overwrite").text(path)
 
@@ -60,13 +67,21 @@ def cached_cube(spark: SparkSession, folder: str, width: int, keys: tuple[str, .
     return Cube(spark.read.parquet(here), keys)
 
 
-def document_split(sentences: DataFrame, doc: str, place: str, n: int = 1000) -> DataFrame:
-    """The longest document's sentences as train (after 2n), valid (first n) and test (next n), by place.
+def document_split(sentences: DataFrame, doc: str, place: str, n: int = 1000, by: list[str] | None = None) -> DataFrame:
+    """The longest document's sentences as train (after 2n), valid (first n) and test (next n), by place; with `by`, those of
+    the longest document of each group, such as a decade.
 
-    Two sentences fall between the slices, as in the original cut points n+1 and 2n+2. Ties go to the first document.
+    Two sentences fall between the slices, as in the original cut points n+1 and 2n+2. Ties go to the first document. Sizes
+    are summed before they are compared, so a group's documents need not meet in one task.
     """
-    longest = sentences.groupBy(doc).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), doc).limit(1).select(doc)
-    rows = sentences.join(F.broadcast(longest), doc, "left_semi").withColumn("__k", F.row_number().over(W.partitionBy(doc).orderBy(place)) - 1)
+    by = by or []
+    sizes = sentences.groupBy(*by, doc).agg(F.count(F.lit(1)).alias("__n"))
+    longest = sizes.groupBy(*by).agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col(doc).alias("doc"))).alias("__l"))
+    longest = longest.select(*(F.col(b).alias(f"__{b}") for b in by), F.col("__l.doc").alias("__doc"))
+    same = F.col(doc).eqNullSafe(F.col("__doc"))
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
+    rows = sentences.join(longest, same, "left_semi").withColumn("__k", F.row_number().over(W.partitionBy(*by, doc).orderBy(place)) - 1)
     part = F.when(F.col("__k") < n, "valid").when((F.col("__k") > n) & (F.col("__k") <= 2 * n), "test").when(F.col("__k") >= 2 * n + 2, "train")
     return rows.withColumn("part", part).filter("part is not null").drop("__k")
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from chronolex.operators import assemble, assoc, drift, models, sampling, similarity, vocab
+from chronolex.operators import assemble, assoc, drift, models, order, sampling, similarity, vocab
 from chronolex.operators.cube import Cube, bin_time
 
 
@@ -158,7 +158,7 @@ def test_sampling(spark):
     pairs = seen.select("modifier", "head").distinct()
     words = spark.createDataFrame([(k, w) for k, w in enumerate("hkxyz")], "slot long, word string")
     neg = sampling.negatives(pairs, words, pairs, "head").collect()
-    assert all(r["new_head"] in "xyz" for r in neg) and len({(r["modifier"], r["head"], r["seed"]) for r in neg}) == len(neg) >= 38
+    assert all(r["new_head"] in "xyz" for r in neg) and len({(r["modifier"], r["head"], r["seed"]) for r in neg}) == len(neg) == 40
     turned = sampling.reversed_pairs(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "d")], "modifier string, head string")).collect()
     assert sum(r["label"] for r in turned) == 3 and len(turned) == 4
     n = sampling.set_sizes(spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("b",), ("c",)], "k string"), "k").first()
@@ -168,10 +168,10 @@ def test_sampling(spark):
 def test_models(spark, cubes):
     v = {r["key"]: r["v"] for r in models.svd(cubes[0], 3).collect()}
     assert len(v) == assoc.contingency(cubes[0]).count() and all(sum(x * x for x in u) == pytest.approx(1.0) for u in v.values())
-    ids = models.indexed(spark.createDataFrame([(w,) for w in "cabdca"], "w string").repartition(3), "w", "i").collect()
+    ids = order.indexed(spark.createDataFrame([(w,) for w in "cabdca"], "w string").repartition(3), "w", "i").collect()
     assert {r["w"]: r["i"] for r in ids} == {"a": 0, "b": 1, "c": 2, "d": 3}
     ranks = spark.createDataFrame([(1.0, 10.0), (2.0, 20.0), (2.0, 25.0), (9.0, 90.0)], "prediction double, label double")
-    assert models.SpearmanEvaluator().evaluate(ranks) == pytest.approx(0.9486832980505138)
+    assert models.spearman(ranks, "prediction", "label").first()["rho"] == pytest.approx(0.9486832980505138)
     r = models.correlations(ranks, ["prediction", "label"]).filter("a <> b").first()["r"]
     assert r == pytest.approx(0.997, abs=0.01) and models.correlations(ranks, ["prediction", "label"], "spearman").count() == 4
     f = models.anova(spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), ("b", 7.0)], "g string, v double"), "g", "v").first()
@@ -185,3 +185,113 @@ def test_dense(spark):
     assert similarity.mean_vectors(df, ["k"], "v").first()["v"] == pytest.approx([7 / 3, 7 / 3])
     assert df.filter("time = 1").select(similarity.unit(F.col("v"))).first()[0] == pytest.approx([0.6, 0.8])
     assert spark.range(1).select(bin_time(F.lit(1987), 20)).first()[0] == 1980
+
+
+def test_negatives_are_drawn_from_all_unseen_words(spark):
+    """However dense the table is, every pair gets an unseen word if there is one, each with about the same chance."""
+    rng = random.Random(8)
+    heads = [f"h{k:02d}" for k in range(30)]
+    seen = [(m, h) for m, most in (("a", 29), ("b", 25), ("c", 3), ("d", 30)) for h in rng.sample(heads, most)]
+    pairs = spark.createDataFrame(seen, "modifier string, head string")
+    words = order.indexed(pairs, "head", "slot").select(F.col("head").alias("word"), "slot")
+    got = sampling.negatives(pairs, words, pairs.union(pairs), "head", seeds=40).collect()
+    assert len(got) == 40 * (29 + 25 + 3) and not {(r["modifier"], r["new_head"]) for r in got} & set(seen)
+    assert len({(r["modifier"], r["head"], r["seed"]) for r in got}) == len(got)
+    drawn = [r["new_head"] for r in got if r["modifier"] == "b"]
+    assert len(set(drawn)) == 5 and all(drawn.count(h) > 0.7 * len(drawn) / 5 for h in set(drawn))
+    turned = sampling.negatives(pairs, order.indexed(pairs, "modifier", "slot").select(F.col("modifier").alias("word"), "slot"), pairs, "modifier", seeds=2).collect()
+    assert not {(r["new_modifier"], r["head"]) for r in turned} & set(seen)
+    assert {r["head"] for r in turned} == {h for _, h in seen if any((m, h) not in seen for m in "abcd")}
+
+
+def test_running_totals_and_ranks(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.randrange(9)) for k in rng.sample(range(1000), 200)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(3)
+    want, total = {}, 0
+    for k, v in sorted(rows):
+        total += v
+        want[k] = total
+    assert {r["k"]: r["t"] for r in order.running(df, ["k"], F.col("v"), "t").collect()} == want
+    assert {r["k"]: r["n"] for r in order.numbered(df, [F.desc("k")], "n").collect()} == {k: n + 1 for n, (k, _) in enumerate(sorted(rows, reverse=True))}
+    ranks = {r["v"]: r["m"] for r in order.mean_ranks(df, ["v"], "m").collect()}
+    values = sorted(v for _, v in rows)
+    assert ranks == {v: values.index(v) + (values.count(v) + 1) / 2 for v in set(values)}
+    assert order.running(df.filter("false"), ["k"], F.col("v"), "t").count() == 0
+    grouped = spark.createDataFrame([(g, float(x), float(x * x if g else -x)) for g in (0, 1) for x in range(8)], "g int, a double, b double")
+    assert {r["g"]: round(r["rho"], 9) for r in models.spearman(grouped, "a", "b", ["g"]).collect()} == {0: -1.0, 1: 1.0}
+
+
+def regression_rows(spark, n=300):
+    rng = random.Random(6)
+    rows = []
+    for k in range(n):
+        x = [rng.gauss(0, 1) for _ in range(3)]
+        rows.append((k, *x, 7.0, 2 * x[0] - x[1] + 0.3 * rng.gauss(0, 1)))
+    return spark.createDataFrame(rows, "k int, a double, b double, c double, flat double, label double")
+
+
+def test_elastic_nets_equal_those_of_spark(spark):
+    from pyspark.ml.regression import LinearRegression
+
+    df, names = regression_rows(spark), ["a", "flat", "b", "c"]
+    fitted = models.prepared(names).fit(df)
+    assert models.selected(fitted, names) == ["a", "b", "c"]
+    sd = df.agg(F.stddev_pop("label")).first()[0]
+    data = fitted.transform(df).withColumn("label", F.col("label") / sd)
+    sums = models.products(data, "label", F.col("k"), 4, [0, 1])
+    assert sums.shape == (2, 4, 5, 5) and sums[0].sum(axis=0)[0, 0] == 300 and models.np.allclose(sums[0].sum(axis=0), sums[1].sum(axis=0))
+    for mix, strength in ((0.0, 0.5), (0.5, 0.2), (1.0, 0.1)):
+        raw, scaled = models.penalised(sums[0].sum(axis=0)[None], models.np.array([mix]), [strength], least=1e-12)
+        spark_fit = LinearRegression(elasticNetParam=mix, regParam=strength, tol=1e-12, maxIter=500).fit(data)
+        assert raw[0, 0] == pytest.approx([spark_fit.intercept, *spark_fit.coefficients], abs=5e-3)
+    grid, best = models.elastic_net(data, "label", ["a", "b", "c"], F.col("k"), folds=4, seeds=[3, 5], mixes=(0.1, 1.0), strengths=(0.001, 0.1, 1.0))
+    assert grid.count() == 12 and best.count() == 6
+    for r in best.collect():
+        assert r["r2"] > 0.97 and r["rho"] > 0.97 and r["strength"] == 0.001
+    weight = {r["feature"]: r["importance"] for r in best.filter("seed = 3").collect()}
+    assert weight["a"] > weight["b"] > 0.2 > 0.05 > weight["c"]
+    top = models.best_configurations(grid, "r2", 1, ["seed", "mix", "strength"]).first()
+    assert top["r2"] == max(r["r2"] for r in grid.collect())
+
+
+def test_held_out_scores_are_those_of_models_that_never_saw_the_rows(spark):
+    np = models.np
+    rows = regression_rows(spark, 60)
+    df = models.prepared(["a", "b"]).fit(rows).transform(rows)
+    sums = models.products(df, "label", F.col("k"), 3, [1])[0]
+    rows = df.select("features", "label", F.pmod(F.xxhash64(F.lit(1), F.col("k")), F.lit(3)).alias("fold")).collect()
+    x, y, f = np.array([[1, *r["features"]] for r in rows]), np.array([r["label"] for r in rows]), np.array([r["fold"] for r in rows])
+    scores = []
+    for k in range(3):
+        w = np.linalg.lstsq(x[f != k], y[f != k], rcond=None)[0]
+        scores.append(1 - ((y[f == k] - x[f == k] @ w) ** 2).sum() / ((y[f == k] - y[f == k].mean()) ** 2).sum())
+        raw, _ = models.penalised((sums.sum(axis=0) - sums[k])[None], np.array([1.0]), [0.0], sweeps=5000, least=1e-13)
+        assert raw[0, 0] == pytest.approx(w, abs=1e-8)
+    grid, _ = models.elastic_net(df, "label", ["a", "b"], F.col("k"), folds=3, seeds=[1], mixes=(1.0,), strengths=(1e-9,))
+    assert grid.first()["r2"] == pytest.approx(np.mean(scores), abs=1e-4)
+
+
+def test_linear_summary_p_values(spark):
+    """Against an integral of the t distribution's density."""
+    df = regression_rows(spark, 30)
+    for r in models.linear_summary(df, "label", ["a", "c"]).collect():
+        n, t = 27, abs(r["t"])
+        scale = math.gamma((n + 1) / 2) / math.sqrt(n * math.pi) / math.gamma(n / 2)
+        step = 1e-3
+        area = sum(scale * (1 + (step * (k + 0.5)) ** 2 / n) ** (-(n + 1) / 2) * step for k in range(int(t / step)))
+        assert r["p"] == pytest.approx(max(0.0, 1 - 2 * area), abs=2e-3) and r["t"] == pytest.approx(r["coefficient"] / r["error"])
+
+
+def test_projection_into_a_fitted_space(spark, cubes):
+    """With all dimensions the fitted cube's own rows keep their cosines."""
+    c = cubes[0]
+    v = {r["key"]: r["v"] for r in models.svd_project(c, {"own": c}, 5).collect()}
+    whole = defaultdict(dict)
+    for r in c.df.collect():
+        whole[f"{r['modifier']}|{r['head']}|{r['time']}"][r["context"]] = r["count"]
+    assert set(v) == set(whole)
+    keys = sorted(v)
+    for a, b in zip(keys, keys[1:], strict=False):
+        assert sum(x * y for x, y in zip(v[a], v[b], strict=True)) == pytest.approx(cos(whole[a], whole[b]), abs=1e-8)
+    assert models.false_positives(spark.createDataFrame([(1, 0, 1.0), (2, 1, 1.0), (3, 0, 0.0)], "k int, label int, prediction double"), ["k"]).first()["k"] == 1

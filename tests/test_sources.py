@@ -83,6 +83,47 @@ def test_document_split(spark):
     assert got == {0: "valid", 1: "valid", 2: "valid", 4: "test", 5: "test", 6: "test", 8: "train"}
 
 
+def test_decade_split_and_ranges(spark):
+    df = spark.createDataFrame([(d, f"{d}x", k) for d in (1900, 1910, None) for k in range(9)] + [(1900, "a", 0), (1910, "1910y", 0)], "decade int, doc string, place int")
+    got = {(r["decade"], r["place"]): r["part"] for r in sinks.document_split(df, "doc", "place", n=3, by=["decade"]).collect()}
+    assert len(got) == 21 and got[1910, 4] == "test" and got[None, 8] == "train"
+    assert [r["id"] for r in corpora.row_range(spark.range(50).repartition(3), ["id"], 10, 13).orderBy("id").collect()] == [10, 11, 12]
+
+
+def test_feature_twins(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0), ("b", None), ("c", 3.0)], "k string, x double")
+    sinks.feature_twins(df, str(tmp_path), {"cutoff": 5}, ["x"])
+    rows = {(r["missing"], r["k"]): r["x"] for r in corpora.delimited(spark, str(tmp_path), schema="k string, x double").collect()}
+    assert rows["na", "b"] is None and rows["med", "b"] == 2.0 and rows["na", "a"] == rows["med", "a"] == 1.0
+
+
+def test_scratch(spark):
+    from chronolex.sources import scratch
+
+    df = scratch.stored(spark.range(3), "numbers")
+    assert df.count() == 3
+    scratch.clear(spark)
+    with pytest.raises(Exception):
+        spark.range(1).join(df, "id").collect()
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "x"  # noqa: N815
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError):
+        scratch.folder(Session(), "x")
+
+
+def test_language_scores_and_inventory(spark):
+    df = spark.createDataFrame([(1, ["the", "of", "le"]), (2, ["und", "the"]), (3, ["zzz"]), (4, ["le", "les", "x"]), (5, None)], "k int, w array<string>")
+    scored = df.select("k", tx.language_scores(F.col("w")).alias("s"))
+    got = {r["k"]: (r["s"], r["c"]) for r in scored.select("k", "s", tx.confident(F.transform("s", lambda x: x["p"])).alias("c")).collect()}
+    assert got[1][0][0]["lang"] == "en" and got[1][1] and not got[2][1] and got[3] == got[5] == (None, False) and [x["lang"] for x in got[4][0]] == ["fr"] and got[4][1]
+
+
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     lit = F.lit
