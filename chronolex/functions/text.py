@@ -115,8 +115,8 @@ def post_text(title: Column, body: Column) -> Column:
 
 
 def with_topic(posts: DataFrame, topics: DataFrame, col: str = "subreddit") -> DataFrame:
-    """Posts of listed subreddits with their topic; topics (subreddit, topic) is a short list."""
-    return posts.join(F.broadcast(topics.select(F.lower(col).alias("__s"), "topic")), F.lower(posts[col]) == F.col("__s")).drop("__s")
+    """Posts of listed subreddits with their topic; topics (subreddit, topic) is a list, which Spark broadcasts if it is short."""
+    return posts.join(topics.select(F.lower(col).alias("__s"), "topic"), F.lower(posts[col]) == F.col("__s")).drop("__s")
 
 
 def rating_pair(text: Column) -> Column:
@@ -143,9 +143,9 @@ def opaque(*votes: Column, least: int = 2) -> Column:
 
 
 def respelled(df: DataFrame, spellings: DataFrame, cols: tuple[str, ...]) -> DataFrame:
-    """Columns with each word replaced by its preferred spelling; spellings (word, preferred) is a short list."""
+    """Columns with each word replaced by its preferred spelling; spellings (word, preferred) is a list of distinct words."""
     for c in cols:
-        s = F.broadcast(spellings.select(F.col("word").alias("__w"), F.col("preferred").alias("__p")))
+        s = spellings.select(F.col("word").alias("__w"), F.col("preferred").alias("__p"))
         df = df.join(s, F.col(c) == F.col("__w"), "left").withColumn(c, F.coalesce("__p", c)).drop("__w", "__p")
     return df
 

@@ -21,24 +21,30 @@ def _vector(cube: Cube, name: str) -> DataFrame:
     return cube.df.select(*cube.cell, F.col("count").cast("double").alias(name))
 
 
-def with_constituent(compounds: Cube, part: Cube, name: str) -> DataFrame:
-    """Cosine of every pair's vector with that of its modifier or head, aligned on context and time."""
-    on = part.cell
-    dot = _vector(compounds, "v").join(_vector(part, "w"), on).groupBy("modifier", "head", "time").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    out = dot.join(norms(compounds, "nc"), compounds.row).join(norms(part, "np"), part.row)
-    return out.select("modifier", "head", "time", (F.col("dot") / (F.col("nc") * F.col("np"))).alias(name))
+def pair_sums(compounds: Cube, modifiers: Cube, heads: Cube) -> DataFrame:
+    """For each pair and bin the sums over its contexts that every cosine and blend is made of, and the constituents' norms.
+
+    vv, vm, vh, hm: products of the pair's, its modifier's and its head's counts; bh, bm, hh and mm: products with the pair and
+    squares where both constituents are there. A sum is null where its vectors share no context. One pass: two joins on contexts, one grouping, two on norms.
+    """
+    cells = _vector(compounds, "v").join(_vector(heads, "h"), heads.cell, "left").join(_vector(modifiers, "m"), modifiers.cell, "left")
+    v, m, h = F.col("v"), F.col("m"), F.col("h")
+    both = m.isNotNull() & h.isNotNull()
+    sums = {"vv": v * v, "vm": v * m, "vh": v * h, "hm": h * m, "bh": F.when(both, v * h), "bm": F.when(both, v * m), "hh": F.when(both, h * h), "mm": F.when(both, m * m)}
+    out = cells.groupBy("modifier", "head", "time").agg(*(F.sum(x).alias(n) for n, x in sums.items()))
+    return out.join(norms(heads, "nh"), heads.row, "left").join(norms(modifiers, "nm"), modifiers.row, "left")
 
 
 def between_constituents(compounds: Cube, modifiers: Cube, heads: Cube, unseen: DataFrame | None = None) -> DataFrame:
     """Cosine of modifier and head. For seen pairs only contexts of the pair enter the sum; unseen pairs (modifier, head,
     time) use all shared contexts."""
-    shared = _vector(heads, "h").join(compounds.df.select("modifier", "head", "context", "time"), heads.cell).join(_vector(modifiers, "m"), modifiers.cell)
-    dot = shared.groupBy("modifier", "head", "time").agg(F.sum(F.col("h") * F.col("m")).alias("dot"))
-    if unseen is not None:
-        free = unseen.select("modifier", "head", "time").join(_vector(heads, "h"), heads.row).join(_vector(modifiers, "m"), modifiers.cell)
-        dot = dot.unionByName(free.groupBy("modifier", "head", "time").agg(F.sum(F.col("h") * F.col("m")).alias("dot")))
-    out = dot.join(norms(heads, "nh"), heads.row).join(norms(modifiers, "nm"), modifiers.row)
-    return out.select("modifier", "head", "time", (F.col("dot") / (F.col("nh") * F.col("nm"))).alias("sim_bw_constituents"))
+    return cosines(compounds, modifiers, heads, unseen).select("modifier", "head", "time", "sim_bw_constituents")
+
+
+def _unseen_cosine(modifiers: Cube, heads: Cube, unseen: DataFrame) -> DataFrame:
+    free = unseen.select("modifier", "head", "time").join(_vector(heads, "h"), heads.row).join(_vector(modifiers, "m"), modifiers.cell)
+    dot = free.groupBy("modifier", "head", "time").agg(F.sum(F.col("h") * F.col("m")).alias("hm"))
+    return dot.join(norms(heads, "nh"), heads.row).join(norms(modifiers, "nm"), modifiers.row)
 
 
 def beta_of(sm: Column, sh: Column, sb: Column) -> Column:
@@ -49,44 +55,59 @@ def beta_of(sm: Column, sh: Column, sb: Column) -> Column:
 def cosines(compounds: Cube, modifiers: Cube, heads: Cube, unseen: DataFrame | None = None) -> DataFrame:
     """The three cosines, beta and the two means; unseen pairs have only the cosine of their constituents."""
     on = ["modifier", "head", "time"]
-    both = with_constituent(compounds, modifiers, "sim_with_modifier").join(with_constituent(compounds, heads, "sim_with_head"), on)
-    out = between_constituents(compounds, modifiers, heads, unseen).join(both, on, "left")
+    sums = pair_sums(compounds, modifiers, heads).filter("hm is not null")
+    if unseen is not None:
+        sums = sums.unionByName(_unseen_cosine(modifiers, heads, unseen), allowMissingColumns=True)
+    out = sums.select(*on, *_cosine_columns())
     sm, sh = F.col("sim_with_modifier"), F.col("sim_with_head")
     return out.select(*on, "sim_with_modifier", "sim_with_head", "sim_bw_constituents", beta_of(sm, sh, F.col("sim_bw_constituents")).alias("beta"), F.sqrt(sm * sh).alias("geom_mean_sim"), F.coalesce((sm + sh) / 2, sm, sh).alias("arith_mean_sim"))
 
 
-def blends(compounds: Cube, modifiers: Cube, heads: Cube, beta: DataFrame) -> DataFrame:
-    """Cosine of every pair with weighted sums of its unit constituents, all blends in one pass over shared contexts."""
-    h = heads.df.join(norms(heads, "nh"), heads.row).select(*heads.cell, (F.col("count") / F.col("nh")).alias("h"))
-    m = modifiers.df.join(norms(modifiers, "nm"), modifiers.row).select(*modifiers.cell, (F.col("count") / F.col("nm")).alias("m"))
-    shared = h.join(_vector(compounds, "v"), heads.cell).join(m, modifiers.cell).join(beta.select("modifier", "head", "time", "beta"), ["modifier", "head", "time"])
-    sums = []
+def _cosine_columns() -> list[Column]:
+    nc = F.sqrt("vv")
+    return [(F.col("vm") / (nc * F.col("nm"))).alias("sim_with_modifier"), (F.col("vh") / (nc * F.col("nh"))).alias("sim_with_head"), (F.col("hm") / (F.col("nh") * F.col("nm"))).alias("sim_bw_constituents")]
+
+
+def blends(compounds: Cube, modifiers: Cube, heads: Cube, beta: DataFrame | None = None) -> DataFrame:
+    """Cosine of every pair with weighted sums of its unit constituents, over the contexts that all three share.
+
+    A blend's product with the pair and its own square follow from the same sums, so all blends are arithmetic on one row.
+    beta is each pair's own weight; where it is not given it is the one that cosines() gives.
+    """
+    on = ["modifier", "head", "time"]
+    sums = pair_sums(compounds, modifiers, heads).filter("hm is not null")
+    if beta is not None:
+        sums = sums.join(beta.select(*on, "beta"), on)
+    else:
+        sums = sums.select("*", *_cosine_columns()).withColumn("beta", beta_of(F.col("sim_with_modifier"), F.col("sim_with_head"), F.col("sim_bw_constituents")))
+    nh, nm = F.col("nh"), F.col("nm")
+    out = []
     for name, b in BLENDS:
         b = F.col("beta") if b is None else F.lit(b)
-        z = b * F.col("h") + (1 - b) * F.col("m")
-        sums += [F.sum(F.col("v") * z).alias(f"n_{name}"), F.sqrt(F.sum(z * z)).alias(f"d_{name}")]
-    out = shared.groupBy("modifier", "head", "time").agg(*sums).join(norms(compounds, "nc"), compounds.row)
-    return out.select("modifier", "head", "time", *((F.try_divide(F.col(f"n_{k}"), F.col(f"d_{k}") * F.col("nc"))).alias(f"sim_cpf_{k}") for k, _ in BLENDS))
+        with_pair = b * F.col("bh") / nh + (1 - b) * F.col("bm") / nm
+        square = b * b * F.col("hh") / (nh * nh) + 2 * b * (1 - b) * F.col("hm") / (nh * nm) + (1 - b) * (1 - b) * F.col("mm") / (nm * nm)
+        out.append(F.try_divide(with_pair, F.sqrt(square) * F.sqrt("vv")).alias(f"sim_cpf_{name}"))
+    return sums.select(*on, *out)
 
 
-def across(aware: Cube, agnostic: Cube, name: str) -> DataFrame:
-    """Cosine of a key's vectors in two settings, at the same time."""
-    dot = _vector(aware, "v").join(_vector(agnostic, "w"), aware.cell).groupBy(*aware.row).agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    out = dot.join(norms(aware, "na"), aware.row).join(norms(agnostic, "ng"), aware.row)
-    return out.select(*aware.row, (F.col("dot") / (F.col("na") * F.col("ng"))).alias(name))
+def compared(aware: Cube, agnostic: Cube, name: str) -> DataFrame:
+    """For each key and bin of either setting: the cosine of its two vectors, and the aware one's token and type share; null
+    where a key is in one setting only, and the cosine also where the vectors share no context. One join and one grouping."""
+    cells = _vector(aware, "a").join(_vector(agnostic, "g"), aware.cell, "full")
+    a, g = F.col("a"), F.col("g")
+    n = lambda x: F.nullif(F.count(x), F.lit(0)).cast("double")
+    cosine = F.try_divide(F.sum(a * g), F.sqrt(F.sum(a * a)) * F.sqrt(F.sum(g * g)))
+    return cells.groupBy(*aware.row).agg(cosine.alias(f"sim_{name}_settings"), F.try_divide(F.sum(a), F.sum(g)).alias(f"perc_token_{name}"), F.try_divide(n(a), n(g)).alias(f"perc_type_{name}"))
 
 
 def shares(aware: Cube, agnostic: Cube, name: str) -> DataFrame:
-    """Token and type share of the aware setting; null where a key is in one setting only."""
-    sums = lambda cube, s: cube.df.groupBy(*cube.row).agg(F.sum("count").alias(f"t{s}"), F.count(F.lit(1)).alias(f"n{s}"))
-    both = sums(aware, "a").join(sums(agnostic, "g"), aware.row, "full")
-    return both.select(*aware.row, F.try_divide(F.col("ta").cast("double"), F.col("tg")).alias(f"perc_token_{name}"), F.try_divide(F.col("na").cast("double"), F.col("ng")).alias(f"perc_type_{name}"))
+    """Token and type share of the aware setting."""
+    return compared(aware, agnostic, name).drop(f"sim_{name}_settings")
 
 
 def settings(aware: tuple[Cube, Cube, Cube], agnostic: tuple[Cube, Cube, Cube]) -> DataFrame:
     """Cross-setting cosines and shares of compounds, modifiers and heads for every pair and bin of both."""
-    names = ("comp", "modifier", "head")
-    per = [across(x, y, f"sim_{n}_settings").join(shares(x, y, n), x.row) for x, y, n in zip(aware, agnostic, names, strict=True)]
+    per = [compared(x, y, n).filter(F.col(f"sim_{n}_settings").isNotNull()) for x, y, n in zip(aware, agnostic, ("comp", "modifier", "head"), strict=True)]
     return per[0].join(per[1], ["modifier", "time"]).join(per[2], ["head", "time"])
 
 

@@ -191,7 +191,7 @@ def _blend_sql() -> str:
 @query(with_sql(*all_cubes_sql(), NORMS, COS, "z AS (SELECT c.modifier, c.head, c.time, CAST(c.count AS DOUBLE) AS v, h.count / nh AS hv, m.count / nm AS mv, nc, beta FROM cooc c JOIN mods m USING (modifier, context, time) JOIN heads h USING (head, context, time) JOIN nm USING (modifier, time) JOIN nh USING (head, time) JOIN nc USING (modifier, head, time) JOIN bt USING (modifier, head, time))") + f"SELECT {K3}, {_blend_sql()} FROM z GROUP BY 1, 2, 3")
 def blend_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, m, h = cubes(spark, sf_dir)
-    return rounded(similarity.blends(c, m, h, similarity.cosines(c, m, h)))
+    return rounded(similarity.blends(c, m, h))
 
 
 def _across_sql(keys: str, a: str, g: str) -> str:
