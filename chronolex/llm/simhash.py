@@ -280,7 +280,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = by_ball.union(_starred(members, "key")).filter("a <> b").groupBy("a", "b").agg(F.max("n").alias("n"))
     salts = F.ceil(F.col("n") / PAIRS_AT_ONCE).cast("int")
     pairs = stored(pairs.select("a", "b", salts.alias("salts")).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts"))), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # written, so that Spark knows its size before it decides whether whole texts have to be shuffled to it
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
 
     def make():
         def f(rows):
@@ -306,5 +307,5 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
     """The rows of docs whose document is the smallest of its group; documents with a null id all stay."""
     found = similar_groups(docs.filter(col(id_col).isNotNull()), id_col, text_col, shingle, least, radius)
-    drop = found.filter("doc_id <> group_id").select(F.col("doc_id").alias("__drop_id")).distinct()
+    drop = stored(found.filter("doc_id <> group_id").select(F.col("doc_id").alias("__drop_id")).distinct(), "dropped-ids")  # as above
     return docs.join(drop, col(id_col) == F.col("__drop_id"), "left_anti")
