@@ -40,13 +40,16 @@ def language_scores(words: Column, least: float = 0.1) -> Column:
     """(p, lang) of the languages with at least this share of an array's function words, best first; ties go to the name that
     sorts last. Null without any. The seam where a trained identifier would go."""
 
-    def count(listed: tuple[str, ...]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*listed))).cast("double")
+    def counts(ws: Column) -> Column:
+        return F.array(*(F.size(F.filter(ws, lambda w: w.isin(*listed))).cast("double") for listed in FUNCTION_WORDS.values()))
 
-    n = {lang: count(listed) for lang, listed in FUNCTION_WORDS.items()}
-    total = sum(list(n.values())[1:], list(n.values())[0])
-    rows = F.array(*(F.struct((x / total).alias("p"), F.lit(lang).alias("lang")) for lang, x in n.items()))
-    return F.when(total > 0, F.filter(F.sort_array(rows, asc=False), lambda x: x["p"] >= least))
+    def scored(n: Column) -> Column:
+        total = F.aggregate(n, F.lit(0.0), lambda s, x: s + x)
+        rows = F.array(*(F.struct((n[k] / total).alias("p"), F.lit(lang).alias("lang")) for k, lang in enumerate(FUNCTION_WORDS)))
+        return F.when(total > 0, F.filter(F.sort_array(rows, asc=False), lambda x: x["p"] >= least))
+
+    # a lambda over an array of one binds its value, so that words and counts are worked out once
+    return F.transform(F.transform(F.array(words), counts), scored)[0]
 
 
 def confident(scores: Column, margin: float = 0.1) -> Column:

@@ -65,6 +65,19 @@ def lemma_pos(window: Column) -> Column:
     return F.array_join(F.transform(window, lambda t: F.concat_ws("_", t["lemma"], t["pos"])), " ")
 
 
+def joined_windows(tokens: DataFrame, keep: list[str], size: int = 5, col: str = "tokens", name: str = "window", outer: bool = False) -> DataFrame:
+    """Every stretch of `size` consecutive tokens as joined `lemma_POS`; with outer, shorter rows stay with a null.
+
+    Windows are built before they become rows, so that no row carries the whole text: the work is linear in a text's length
+    whatever expressions follow.
+    """
+    words = tokens.select(*keep, F.transform(col, lambda t: F.concat_ws("_", t["lemma"], t["pos"])).alias("__t"))
+    n = F.size("__t")
+    at = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
+    make = F.explode_outer if outer else F.explode
+    return words.select(*keep, make(F.transform(at, lambda k: F.array_join(F.slice("__t", k, size), " "))).alias(name))
+
+
 def split_lemma_pos(text: Column) -> Column:
     """The array of (lemma, pos) of joined `lemma_POS` tokens; the tag follows the last underscore."""
     return F.transform(F.split(text, " "), lambda t: F.struct(F.regexp_replace(t, "_[^_]*$", "").alias("lemma"), F.regexp_extract(t, "_([^_]*)$", 1).alias("pos")))
@@ -298,7 +311,7 @@ def adjacent_pairs(tokens: DataFrame, keep: list[str], col: str = "tokens", reac
     out = out.filter(noun(pos(k)) & noun(pos(k + 1)) & ~noun(pos(k + 2)))
     left = F.slice("__t", F.greatest(k - reach, F.lit(1)), F.least(k - 1, F.lit(reach)))
     right = F.slice("__t", k + 2, F.lit(reach))
-    lemma = lambda a: F.array_join(F.transform(a, lambda s: s["lemma"]), " ")
+    lemma = lambda a: F.array_join(a["lemma"], " ")
     return out.select(*keep, "k", F.element_at("__t", k)["lemma"].alias("modifier"), F.element_at("__t", k + 1)["lemma"].alias("head"), lemma(left).alias("left"), lemma(right).alias("right"))
 
 
@@ -322,17 +335,21 @@ def content_counts(tokens: DataFrame, key: str = "lemma", col: str = "tokens") -
 def legacy_pairs(grams: DataFrame, keep: list[str], text: str = "fivegram_pos") -> DataFrame:
     """Pairs of singular common nouns (`nn1`) in CLAWS-tagged five-grams: each alignment of which no third noun touches.
 
-    Tokens are `word_tag`; pair words must consist of a to z, dots and hyphens; contexts are the other slots that carry a
+    Tokens are `word_tag` (one without a mark is a tag without a word); pair words must consist of a to z, dots and hyphens; contexts are the other slots that carry a
     content tag, with universal tags.
     """
     from chronolex.functions.text import universal
 
+    def parts(x: Column) -> Column:
+        pos = F.substring_index(x, "_", -1)
+        return F.struct(F.substring(x, F.lit(1), F.length(x) - F.length(pos) - 1).alias("lemma"), pos.alias("pos"), universal(pos).alias("kind"))
+
     t = F.split(text, r"\s+")
-    df = grams.filter(F.size(t) == 5).select(*keep, F.transform(t, lambda x: F.struct(F.regexp_replace(x, "_[^_]*$", "").alias("lemma"), F.regexp_extract(x, "_([^_]*)$", 1).alias("pos"))).alias("w"))
+    df = grams.filter(F.size(t) == 5).select(*keep, F.transform(t, parts).alias("w"))
     w = F.col("w")
     noun = lambda k: w.getItem(k)["pos"] == "nn1"
     plain = lambda k: w.getItem(k)["lemma"].rlike("^[a-z.-]+$")
-    named = lambda k: F.concat_ws("_", w.getItem(k)["lemma"], universal(w.getItem(k)["pos"]))
+    named = lambda k: F.concat_ws("_", w.getItem(k)["lemma"], w.getItem(k)["kind"])
     kind = "array<struct<modifier:string,head:string,context:string>>"
     rows = []
     for s in range(4):
@@ -340,6 +357,6 @@ def legacy_pairs(grams: DataFrame, keep: list[str], text: str = "fivegram_pos")
         for q in (s - 1, s + 2):
             if 0 <= q < 5:
                 test = test & ~noun(q)
-        own = F.array(*(F.struct(named(s).alias("modifier"), named(s + 1).alias("head"), F.when(universal(w.getItem(q)["pos"]).isNotNull(), named(q)).alias("context")) for q in range(5) if q not in (s, s + 1)))
+        own = F.array(*(F.struct(named(s).alias("modifier"), named(s + 1).alias("head"), F.when(w.getItem(q)["kind"].isNotNull(), named(q)).alias("context")) for q in range(5) if q not in (s, s + 1)))
         rows.append(F.when(test, F.filter(own, lambda x: x["context"].isNotNull())).otherwise(F.array().cast(kind)))
     return df.select(*keep, F.explode(F.concat(*rows)).alias("s")).select(*keep, "s.*")

@@ -84,7 +84,7 @@ def legacy_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-grams in the older tag set: pairs of singular nouns without a third, contexts of content classes."""
     tag = F.transform("tokens", lambda t: F.struct(t["lemma"].alias("lemma"), F.when(t["pos"] == "NOUN", "nn1").when(t["pos"] == "VERB", "vvd").when(t["pos"] == "ADJ", "jj").when(t["pos"] == "ADV", "rr").otherwise("at").alias("pos")))
     t = ngrams.annotate(_docs(spark, sf_dir), ["doc_id"]).select("doc_id", tag.alias("tokens"))
-    grams = ngrams.windows(t, ["doc_id"]).select(ngrams.lemma_pos(F.col("w")).alias("fivegram_pos"))
+    grams = ngrams.joined_windows(t, [], name="fivegram_pos")
     return ngrams.legacy_pairs(grams, []).groupBy("modifier", "head", "context").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
 
 
@@ -100,8 +100,7 @@ def compound_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests on the joined form of all of a document's windows: fully tagged ones, and those with an adjective."""
     t = ngrams.annotate(_docs(spark, sf_dir), ["doc_id"])
-    at = F.when(F.size("tokens") >= 5, F.sequence(F.lit(1), F.size("tokens") - 4))
-    g = t.select("doc_id", F.explode_outer(at).alias("k"), "tokens").select("doc_id", ngrams.lemma_pos(F.slice("tokens", F.coalesce("k", F.lit(1)), F.lit(5))).alias("g"))
+    g = ngrams.joined_windows(t, ["doc_id"], name="g", outer=True)
     full = tx.fully_tagged(F.col("g")) & (tx.token_count(F.col("g")) == 5) & tx.already_tagged(F.col("g"))
     return g.groupBy("doc_id").agg(F.count_if(full).alias("n_full"), F.count_if(full & F.col("g").rlike("_ADJ( |$)")).alias("n_adj"))
 

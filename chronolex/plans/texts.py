@@ -52,6 +52,10 @@ def _windows(spark: SparkSession, sf_dir: str, size: int = 5) -> DataFrame:
     return ngrams.windows(ngrams.annotate(_docs(spark, sf_dir), ["doc_id", "time"]), ["doc_id", "time"], size)
 
 
+def _joined(spark: SparkSession, sf_dir: str, size: int = 5) -> DataFrame:
+    return ngrams.joined_windows(ngrams.annotate(_docs(spark, sf_dir), ["time"]), ["time"], size, name="lemma_pos")
+
+
 def _slots(spark: SparkSession, sf_dir: str, of, keys: tuple[str, ...], size: int = 5) -> DataFrame:
     names = {k: {"modifier": "m", "head": "h", "word": "m"}[k] for k in keys} | {"context": "c"}
     return ngrams.document_slots(ngrams.annotate(_docs(spark, sf_dir), ["time"]), ["time"], of, names, size)
@@ -78,12 +82,12 @@ def fivegrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_sql(WORDS, TOKENS, WIN5, "g AS (SELECT time, " + " || ' ' || ".join(f"l{k} || '_' || p{k}" for k in range(5)) + " AS lemma_pos, count(*) AS count FROM win GROUP BY 1, 2)") + "SELECT lemma_pos, time, count FROM g WHERE count > 5")
 def fivegram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of whole five-grams above a cutoff."""
-    return _windows(spark, sf_dir).groupBy(ngrams.lemma_pos(F.col("w")).alias("lemma_pos"), "time").agg(F.count(F.lit(1)).alias("count")).filter("count > 5")
+    return _joined(spark, sf_dir).groupBy("lemma_pos", "time").agg(F.count(F.lit(1)).alias("count")).filter("count > 5")
 
 
 @query(with_sql(WORDS, TOKENS, WIN5, "g AS (SELECT time, l0, p0, l1, p1, l2, p2, l3, p3, l4, p4, count(*) AS count FROM win GROUP BY ALL)") + "SELECT time, count(*) AS types, CAST(sum(count) AS BIGINT) AS tokens, CAST(count(*) FILTER (WHERE count > 1) AS BIGINT) AS repeated FROM g GROUP BY 1")
 def fivegram_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _windows(spark, sf_dir).groupBy("time", ngrams.lemma_pos(F.col("w")).alias("g")).agg(F.count(F.lit(1)).alias("count"))
+    g = _joined(spark, sf_dir).groupBy("time", "lemma_pos").agg(F.count(F.lit(1)).alias("count"))
     return g.groupBy("time").agg(F.count(F.lit(1)).alias("types"), F.sum("count").alias("tokens"), F.count_if(F.col("count") > 1).alias("repeated"))
 
 
@@ -204,7 +208,7 @@ def adjacent_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql(WORDS, TOKENS) + "SELECT time, lemma || '_' || pos AS modifier, head || '_' || p1 AS head, count(*) AS count FROM (SELECT *, lead(lemma) OVER o AS head, lead(pos) OVER o AS p1 FROM toks WINDOW o AS (PARTITION BY doc_id ORDER BY k)) WHERE pos IN ('NOUN', 'VERB', 'ADJ') AND p1 IN ('NOUN', 'VERB', 'ADJ') GROUP BY 1, 2, 3 HAVING count(*) > 3")
 def bigram_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _windows(spark, sf_dir, 2).select("time", F.split(ngrams.lemma_pos(F.col("w")), " ").alias("g"))
+    g = _joined(spark, sf_dir, 2).select("time", F.split("lemma_pos", " ").alias("g"))
     g = g.select("time", F.col("g").getItem(0).alias("modifier"), F.col("g").getItem(1).alias("head"))
     ok = F.col("modifier").rlike("_(NOUN|VERB|ADJ)$") & F.col("head").rlike("_(NOUN|VERB|ADJ)$")
     return g.filter(ok).groupBy("time", "modifier", "head").agg(F.count(F.lit(1)).alias("count")).filter("count > 3")

@@ -17,7 +17,7 @@ def read(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch
 def windowed_counts(posts: DataFrame, text: str = "selftext", at: str = "created_at", late: str = "30 days", width: str = "365 days", size: int = 5) -> DataFrame:
     """Counts of tagged n-grams by event-time window; rows later than the watermark are dropped, state behind it is freed."""
     tokens = ngrams.annotate(posts.withWatermark(at, late), [at], text)
-    grams = ngrams.windows(tokens, [at], size).select(at, ngrams.lemma_pos(F.col("w")).alias("lemma_pos"))
+    grams = ngrams.joined_windows(tokens, [at], size, name="lemma_pos")
     return grams.groupBy(F.window(at, width), "lemma_pos").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -48,6 +48,12 @@ def test_windows_padding_and_names(spark):
     df = spark.createDataFrame([(1, t), (2, t[:4]), (3, [])], "id int, tokens array<struct<lemma:string,pos:string>>")
     w = ngrams.windows(df, ["id"]).select("id", "place", ngrams.lemma_pos(F.col("w")).alias("s")).collect()
     assert [(r["id"], r["place"], r["s"]) for r in w] == [(1, 0, "a_NOUN b_NOUN c_VERB d_DET e_NOUN"), (1, 1, "b_NOUN c_VERB d_DET e_NOUN f_g_ADJ")]
+    joined = ngrams.joined_windows(df, ["id"], outer=True).collect()
+    assert sorted((r["id"], r["window"] or "") for r in joined) == [*((1, r["s"]) for r in w), (2, ""), (3, "")]
+    assert ngrams.joined_windows(df, ["id"]).count() == len(w)
+    plan = ngrams.joined_windows(df, ["id"])._jdf.queryExecution().executedPlan().toString()
+    generate = next(line for line in plan.splitlines() if "Generate" in line)
+    assert "[id#" in generate and "__t" not in generate.split("), [id#")[1]  # rows of windows do not carry the text
     padded = df.select(ngrams.lemma_pos(ngrams.padded(F.col("tokens"))).alias("s")).collect()
     assert padded[1]["s"].endswith("d_DET eos_X") and padded[2]["s"] == " ".join(["eos_X"] * 5) and padded[0]["s"].count(" ") == 5
     back = df.filter("id = 1").select(ngrams.split_lemma_pos(ngrams.lemma_pos(F.col("tokens"))).alias("t")).first()["t"]
