@@ -335,14 +335,15 @@ def content_counts(tokens: DataFrame, key: str = "lemma", col: str = "tokens") -
 def legacy_pairs(grams: DataFrame, keep: list[str], text: str = "fivegram_pos") -> DataFrame:
     """Pairs of singular common nouns (`nn1`) in CLAWS-tagged five-grams: each alignment of which no third noun touches.
 
-    Tokens are `word_tag` (one without a mark is a tag without a word); pair words must consist of a to z, dots and hyphens; contexts are the other slots that carry a
+    Tokens are `word_tag` (one without a mark has no tag); pair words must consist of a to z, dots and hyphens; contexts are the other slots that carry a
     content tag, with universal tags.
     """
     from chronolex.functions.text import universal
 
     def parts(x: Column) -> Column:
-        pos = F.substring_index(x, "_", -1)
-        return F.struct(F.substring(x, F.lit(1), F.length(x) - F.length(pos) - 1).alias("lemma"), pos.alias("pos"), universal(pos).alias("kind"))
+        marked = F.contains(x, F.lit("_"))
+        pos = F.when(marked, F.substring_index(x, "_", -1)).otherwise("")
+        return F.struct(F.when(marked, F.substring(x, F.lit(1), F.length(x) - F.length(pos) - 1)).otherwise(x).alias("lemma"), pos.alias("pos"), universal(pos).alias("kind"))
 
     t = F.split(text, r"\s+")
     df = grams.filter(F.size(t) == 5).select(*keep, F.transform(t, parts).alias("w"))

@@ -120,3 +120,8 @@ def test_a_cube_with_a_cutoff_reads_documents_once(spark, sf):
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
         assert sum("Scan parquet" in x for x in plan) == 1, name
         assert all("HashAggregate" in "".join(plan[k + 1 : k + 3]) for k, x in enumerate(plan) if "+- Exchange hashpartitioning" in x), name
+
+
+def test_legacy_pairs_without_marks(spark):
+    df = spark.createDataFrame([("oak_nn1 a_b_nn1 tree_nn1 jjx red_jj",), ("oak_nn1 tree_nn1 jjx red_jj vvd",)], "fivegram_pos string")
+    assert [tuple(r) for r in ngrams.legacy_pairs(df, []).collect()] == [("oak_noun", "tree_noun", "red_adj")]
