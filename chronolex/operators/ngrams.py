@@ -53,11 +53,15 @@ def tag_of(word: Column) -> Column:
 
 
 def windows(tokens: DataFrame, keep: list[str], size: int = 5, col: str = "tokens") -> DataFrame:
-    """Every stretch of `size` consecutive tokens, with stride 1 and its place; shorter rows have none."""
+    """Every stretch of `size` consecutive tokens, with stride 1 and its place; shorter rows have none.
+
+    Windows are built before they become rows, as in joined_windows. Spark holds all rows that one text yields until they are
+    read, so with the whole text in each the memory would grow with the square of a text's length.
+    """
     n = F.size(col)
     at = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-    out = tokens.select(*keep, F.explode(at).alias("place"), F.col(col).alias("__t"))
-    return out.select(*keep, "place", F.slice("__t", F.col("place") + 1, F.lit(size)).alias("w"))
+    rows = F.transform(at, lambda k: F.struct(k.alias("place"), F.slice(col, k + 1, size).alias("w")))
+    return tokens.select(*keep, F.explode(rows).alias("__w")).select(*keep, "__w.place", "__w.w")
 
 
 def lemma_pos(window: Column) -> Column:

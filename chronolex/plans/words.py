@@ -20,7 +20,8 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_sql(WORDS, TOKENS, WIN5) + "SELECT time, count(*) AS n FROM win WHERE p0 = 'NOUN' AND p1 = 'NOUN' AND p2 = 'NOUN' AND p3 = 'NOUN' AND p4 = 'NOUN' GROUP BY 1")
 def uniform_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of one tag only; the rule-based tagger has no unknown words, so nouns stand in for them."""
-    return _windows(spark, sf_dir).filter(tx.all_unknown(F.col("w.pos"), "NOUN")).groupBy("time").agg(F.count(F.lit(1)).alias("n"))
+    tags = ngrams.annotate(_docs(spark, sf_dir), ["time"]).select("time", F.col("tokens.pos").alias("pos"))
+    return ngrams.windows(tags, ["time"], col="pos").filter(tx.all_unknown(F.col("w"), "NOUN")).groupBy("time").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _merged_sql() -> str:

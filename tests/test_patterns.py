@@ -122,6 +122,21 @@ def test_a_cube_with_a_cutoff_reads_documents_once(spark, sf):
         assert all("HashAggregate" in "".join(plan[k + 1 : k + 3]) for k, x in enumerate(plan) if "+- Exchange hashpartitioning" in x), name
 
 
+def test_rows_of_windows_do_not_carry_the_text(spark, sf):
+    """What Generate passes on besides the windows; a long text in each of its windows would fill the executor."""
+    from chronolex.plans import registry
+
+    t = [(f"w{k}", "NOUN" if k % 7 else "VERB") for k in range(3000)]
+    df = spark.createDataFrame([(1, t), (2, t[:5]), (3, t[:4]), (4, None)], "id int, tokens array<struct<lemma:string,pos:string>>")
+    w = ngrams.windows(df, ["id"])
+    got = [(r["id"], r["place"], [tuple(x) for x in r["w"]]) for r in w.collect()]
+    assert got == [*((1, k, t[k : k + 5]) for k in range(2996)), (2, 0, t[:5])]
+    for x, carried in ((w, ["id"]), (registry.QUERIES["uniform_windows"](spark, sf), ["time"])):
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        generate = next(line for line in plan.splitlines() if "Generate explode" in line)
+        assert re.findall(r"([a-z_]+)#", re.search(r"\), \[([^\]]*)\], false, \[", generate)[1]) == carried
+
+
 def test_legacy_pairs_without_marks(spark):
     df = spark.createDataFrame([("oak_nn1 a_b_nn1 tree_nn1 jjx red_jj",), ("oak_nn1 tree_nn1 jjx red_jj vvd",)], "fivegram_pos string")
     assert [tuple(r) for r in ngrams.legacy_pairs(df, []).collect()] == [("oak_noun", "tree_noun", "red_adj")]
