@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolex.functions import text as tx
-from chronolex.operators import assoc, drift, ngrams, similarity, vocab
+from chronolex.operators import assoc, drift, ngrams, packed, similarity, vocab
 from chronolex.operators.cube import Cube, bin_time
 from chronolex.plans.base import query, r, rounded, table, values, with_sql
 from chronolex.plans.features import LLR, PMI, TABLE
@@ -166,8 +166,7 @@ WORD_SQL = " UNION ALL ".join(f"SELECT {_s(k)} AS word, {_s(q)} AS context, time
 @query(with_sql(WORDS, TOKENS, WIN5) + _cut_sql(WORD_SQL, "word", 200))
 def cube_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nouns and adjectives with their windows, above a cutoff of 200."""
-    slots = ngrams.neighbour_slots(ngrams.annotate(_docs(spark, sf_dir), ["time"]), ["time"])
-    return ngrams.cube_of(slots, ("word",), F.col("count")).above(200).df
+    return packed.neighbour_cube(ngrams.annotate(_docs(spark, sf_dir), ["time"]), 200).df
 
 
 def _linked_sql(link: tuple[str, ...], head_first: bool) -> str:

@@ -137,6 +137,26 @@ def test_rows_of_windows_do_not_carry_the_text(spark, sf):
         assert re.findall(r"([a-z_]+)#", re.search(r"\), \[([^\]]*)\], false, \[", generate)[1]) == carried
 
 
+def test_packed_cube_equals_the_rows_of_pairs(spark, sf):
+    """Chunks of a few tokens and shares of a few sums; and nothing but blocks of sums is shuffled, once."""
+    from chronolex.operators import packed
+    from chronolex.plans import registry
+
+    words = [("a", "NOUN"), ("\u00e9t\u00e9", "NOUN"), ("c", "VERB"), ("d", "ADJ"), ("e", "NOUN"), ("a", "NOUN"), ("g", "PROPN"), ("h", None), (None, "NOUN")]
+    rows = [(1, words * 3), (2, words[:4]), (3, words[2:]), (4, []), (5, None), (1, words[:6]), (None, words[:7]), (3, words * 2), (9, [("x", "VERB")] * 6)]
+    df = spark.createDataFrame(rows, "time int, tokens array<struct<lemma:string,pos:string>>").coalesce(1)
+    got = lambda c: sorted(map(str, map(tuple, c.df.select("word", "context", "time", "count").collect())))
+    plain = ngrams.cube_of(ngrams.neighbour_slots(df, ["time"]), ("word",), F.col("count"))
+    for how in ({}, {"chunk": 8, "most": 5}):
+        assert got(packed.neighbour_cube(df, **how)) == got(plain) != []
+        assert [x for x in got(packed.neighbour_cube(df, 40, **how)) if "None, " not in x] == got(plain.above(40)) != []
+    assert packed.neighbour_cube(df.filter("time = 4")).df.collect() == []
+    df = registry.QUERIES["cube_words"](spark, sf)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_legacy_pairs_without_marks(spark):
     df = spark.createDataFrame([("oak_nn1 a_b_nn1 tree_nn1 jjx red_jj",), ("oak_nn1 tree_nn1 jjx red_jj vvd",)], "fivegram_pos string")
     assert [tuple(r) for r in ngrams.legacy_pairs(df, []).collect()] == [("oak_noun", "tree_noun", "red_adj")]
